@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, mixing
+from . import bpe_automaton, exact_dedup, host_rules, mixing, repair_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +34,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_host_rules, op7_mixing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_repair_tokens, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
