@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, exact_dedup, host_rules, mixing, repair_tokens
+from . import bpe_automaton, exact_dedup, host_rules, mixing, repair_tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_repair_tokens, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op10_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_rules": host_rules.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op6_host_rules": host_rules.SQL, "op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op10_warc_segments": warc.SQL}
