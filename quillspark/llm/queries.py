@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, exact_dedup, host_rules, mixing, repair_tokens, warc
+from . import bpe_automaton, exact_dedup, host_rules, language_id, mixing, repair_tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op10_warc_segments)}
+    return {f.__name__: f for f in (op1_repair_tokens, op4_language_id, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op10_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
