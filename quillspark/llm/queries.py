@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, exact_dedup, host_rules, language_id, mixing, repair_tokens, warc
+from . import bpe_automaton, exact_dedup, host_rules, language_id, minhash_join, mixing, repair_tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_components(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op4_language_id, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op10_warc_segments)}
+    return {f.__name__: f for f in (op1_repair_tokens, op4_language_id, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op9_minhash_join, op10_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
