@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import common, exact_dedup, mixing
+from quillspark.llm import bpe_automaton, common, exact_dedup, language_id, minhash_join, mixing
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the model knows; null texts and those without a letter go."""
+    model = language_id.train(docs)
+    kept = language_id.predict(docs, model, keep=tuple(docs.columns))
+    return kept.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +20,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates (five words, 0.8 or more) the smallest id stays."""
+    return minhash_join.deduplicate(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
-    plan = mixing.copies(mixing.mix(docs)).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
+    """Each document as often as its source's budget takes it, in rows of its own; the one at the cut is taken whole."""
+    plan = mixing.copies(mixing.mix(docs)).select(F.col("doc_id").alias("_id"), "copies").groupBy("_id").agg(F.max("copies").alias("copies")).where("copies > 0")
     out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's token count, and the digests of its ids and of the text decoded from them."""
+    return bpe_automaton.round_trip(docs)
+
+
+STAGES = [("language ID", languages), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixed), ("BPE coding", tokens)]
 #: Language scores, signatures and tokens can't be written in SQL.
 ORACLE_SQL = None
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, exact_dedup, host_rules, label_propagation, language_id, minhash_join, mixing, repair_tokens, warc
+from . import bpe_automaton, exact_dedup, host_rules, label_propagation, language_id, minhash_join, mixing, repair_tokens, secret_crf, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_propagation.shard(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_tokens, op2_label_propagation, op4_language_id, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op9_minhash_join, op10_warc_segments)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_label_propagation, op3_secret_crf, op4_language_id, op5_bpe_automaton, op6_host_rules, op7_mixing, op8_exact_dedup, op9_minhash_join, op10_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
