@@ -86,23 +86,36 @@ def page_records(page: int, url: str, payload: bytes, digest: str, refers: int |
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an archive of gzip members, or of a plain one."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            raw, data = member.decompress(data), member.unused_data
-        else:
-            raw, data = data, b""
-        while raw:
-            head, _, rest = raw.partition(b"\r\n\r\n")
-            version, *lines = head.decode("utf-8").split("\r\n")
+    for raw in _members(data):
+        at = 0
+        while at < len(raw):
+            end = raw.index(b"\r\n\r\n", at)
+            version, *lines = raw[at:end].decode("utf-8").split("\r\n")
             if not version.startswith("WARC/"):
                 raise ValueError("not a WARC record")
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
             size = int(headers["content-length"])
-            if len(rest) < size:
+            if len(raw) < end + 4 + size:
                 raise ValueError("a record is cut short")
-            yield headers, rest[:size]
-            raw = rest[size + 4 :]
+            yield headers, raw[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
+
+
+def _members(data: bytes, step: int = 32 << 10) -> Iterator[bytes]:
+    """The gzip members of data, unpacked; fed in steps, as what is left unused of a call is copied."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut short")
+            parts.append(member.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(member.unused_data)
+        yield b"".join(parts)
 
 
 def duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
