@@ -183,25 +183,26 @@ class Engine:
         start = self.spark.range(1).select(F.lit(session).cast("long").alias("id"), F.lit(lib).alias("library_id"), F.lit("in_progress").alias("status"), F.lit(found.count()).cast("int").alias("total_urls"), F.lit(0).alias("success_count"), F.lit(0).alias("fail_count"), F.lit(0).alias("skip_count"), now.alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"))
         self.store.upsert("sessions", start, "started_at")
         parsed = crawl.parse_entities(pages_fetch(pages, found), source)
-        key = lambda *c: F.abs(F.xxhash64(F.lit(lib), *c))
+        hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
+        key = lambda *c: hashed(F.lit(lib), *c)
         good = parsed.where("error is null")
         entities = good.select(key(F.col("slug")).alias("id"), F.lit(lib).alias("library_id"), "slug", "name", "kind", "description", "source_file", "source_code", "url", now.alias("created_at"), now.alias("updated_at"))
         self.store.upsert("entities", entities, keep_first=("id", "created_at"))
         properties = good.select(key(F.col("slug")).alias("entity_id"), F.explode("properties").alias("p")).select("entity_id", "p.name", "p.description").dropDuplicates(["entity_id", "name"])
-        properties = properties.select(F.xxhash64("entity_id", "name").alias("id"), "entity_id", "name", F.lit("").alias("type"), "description", F.lit("public").alias("visibility"), F.lit("").alias("since"))
+        properties = properties.select(hashed("entity_id", "name").alias("id"), "entity_id", "name", F.lit("").alias("type"), "description", F.lit("public").alias("visibility"), F.lit("").alias("since"))
         self.store.write("properties", tables.replace_children(self.store.read("properties"), properties, "entity_id"))
         owners = good.select(F.col("slug").alias("entity_slug"), key(F.col("slug")).alias("entity_id"), F.explode("method_urls").alias("url")).dropDuplicates(["url"])
         methods = crawl.parse_methods(pages_fetch(pages, owners), source)
         owned = methods.where("error is null").join(owners, "url")
         full = crawl.resolved(owned, pages, source)
-        rows = full.select(F.xxhash64("entity_id", "slug").alias("id"), "entity_id", "slug", "name", "signature", "description", "parameters", "return_type", "return_desc", "source_code", "wrapped_source", "wrapped_method", "url", "since", now.alias("created_at"), now.alias("updated_at"))
+        rows = full.select(hashed("entity_id", "slug").alias("id"), "entity_id", "slug", "name", "signature", "description", "parameters", "return_type", "return_desc", "source_code", "wrapped_source", "wrapped_method", "url", "since", now.alias("created_at"), now.alias("updated_at"))
         rows, _ = tables.with_parents(rows, self.store.read("entities"), "entity_id", "id")
         self.store.upsert("methods", rows.select(*schema.names(schema.METHODS)), keep_first=("id", "created_at"))
-        relations = owned.select(F.xxhash64("entity_id", "slug").alias("method_id"), F.explode("relations").alias("r")).select("method_id", "r.*")
-        relations = relations.select(F.xxhash64("method_id", "kind", "target_name", "target_url").alias("id"), "method_id", "kind", "target_name", "target_url", "description")
+        relations = owned.select(hashed("entity_id", "slug").alias("method_id"), F.explode("relations").alias("r")).select("method_id", "r.*")
+        relations = relations.select(hashed("method_id", "kind", "target_name", "target_url").alias("id"), "method_id", "kind", "target_name", "target_url", "description")
         self.store.write("relations", tables.replace_children(self.store.read("relations"), relations, "method_id"))
         progress = crawl.progress_rows(parsed, session, "entity").unionByName(crawl.progress_rows(methods.join(owners.select("url", "entity_slug"), "url"), session, "method", "entity_slug"))
-        progress = progress.withColumn("id", F.xxhash64("session_id", "url")).select(*schema.names(schema.PROGRESS))
+        progress = progress.withColumn("id", hashed("session_id", "url")).select(*schema.names(schema.PROGRESS))
         self.store.upsert("progress", progress, "processed_at", ("id", "item_type", "parent_entity"))
         stats = tables.crawl_stats(self.store.read("progress").where(F.col("session_id") == session)).first()
         ended = tables.close_session(self.store.read("sessions"), session, "completed")

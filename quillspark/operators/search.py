@@ -21,12 +21,12 @@ TOP = 20
 def index_documents(entities: DataFrame, methods: DataFrame) -> DataFrame:
     """Rows to index: each entity with its description, each method with signature and description. row_id is unique and stable.
 
-    Entities get even ids, methods odd ones, so no global numbering is needed.
+    Entities get even ids, methods odd ones (ids are below 2 ** 63), so no global numbering is needed.
     """
-    e = entities.select((F.col("id") * 2).alias("row_id"), "library_id", F.col("name").alias("entity_name"), F.lit("").alias("method_name"), F.coalesce("description", F.lit("")).alias("content"), F.col("id").alias("entity_id"), F.lit(None).cast("long").alias("method_id"), F.lit("class").alias("snippet_type"))
+    e = entities.select(F.shiftleft("id", 1).alias("row_id"), "library_id", F.col("name").alias("entity_name"), F.lit("").alias("method_name"), F.coalesce("description", F.lit("")).alias("content"), F.col("id").alias("entity_id"), F.lit(None).cast("long").alias("method_id"), F.lit("class").alias("snippet_type"))
     said = F.coalesce("description", F.lit(""))
     content = F.when(F.coalesce("signature", F.lit("")) != "", F.concat("signature", F.lit(" "), said)).otherwise(said)
-    m = methods.select((F.col("id") * 2 + 1).alias("row_id"), F.col("name").alias("method_name"), content.alias("content"), "entity_id", F.col("id").alias("method_id"))
+    m = methods.select(F.shiftleft("id", 1).bitwiseOR(F.lit(1).cast("long")).alias("row_id"), F.col("name").alias("method_name"), content.alias("content"), "entity_id", F.col("id").alias("method_id"))
     owner = entities.select(F.col("id").alias("entity_id"), "library_id", F.col("name").alias("entity_name"))
     return e.unionByName(m.join(owner, "entity_id").withColumn("snippet_type", F.lit("method")))
 
