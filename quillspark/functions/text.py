@@ -76,11 +76,11 @@ def porter(word: str) -> str:
     size = len(word.encode())
     if size <= 2 or size > 64 or not all("a" <= c <= "z" for c in word):
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("sses") or word.endswith("ies") and size > 3:
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     else:
@@ -91,7 +91,7 @@ def porter(word: str) -> str:
                     word = stem
                     if word.endswith(("at", "bl", "iz")):
                         word += "e"
-                    elif _form(word)[-2:] == "cc" and word[-1:] == word[-2:-1] and word[-1] not in "lsz":
+                    elif word[-1:] == word[-2:-1] and word[-1] not in "aeioulsz":
                         word = word[:-1]
                     elif _measure(word) == 1 and _ends_cvc(word):
                         word += "e"
