@@ -232,21 +232,15 @@ class Coder:
         self.chunks = pretokens.Chunks(self._encode, (",", b""), special, (str(number), special.encode()))
 
     def _encode(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
-        words, cuts = pretokens.cut(texts, self.library)
-        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        ids, count = self.auto.encode_words([w.encode() for w in place])
-        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        n = count[which]  # ids of each word in turn
-        begin = (np.cumsum(count) - count)[which]
-        every = ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        # Where each text's ids end, then where they end in one long string of names and one of labels.
-        end = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(cuts, np.int64))])]
+        words, which, cuts, order = pretokens.cut(texts, self.library)
+        ids, count = self.auto.encode_words([w.encode() for w in words])
+        every, end = pretokens.gathered(ids, count, which, cuts)
         name_end = np.concatenate([[0], np.cumsum(self.name_size[every])])[end].tolist()
         label_end = np.concatenate([[0], np.cumsum(self.auto.size[every])])[end].tolist()
         listed = every.tolist()
         names = ",".join(map(self.names.__getitem__, listed))
         labels = b"".join(map(self.auto.labels.__getitem__, listed))
-        return [names[a : b - 1] for a, b in zip(name_end, name_end[1:])], [labels[a:b] for a, b in zip(label_end, label_end[1:])]
+        return pretokens.placed([names[a : b - 1] for a, b in zip(name_end, name_end[1:])], order), pretokens.placed([labels[a:b] for a, b in zip(label_end, label_end[1:])], order)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         for ids, text in self.chunks.joined(texts):

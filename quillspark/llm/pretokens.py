@@ -7,14 +7,16 @@ white space beside a space are cut by the tokenizer's own pattern as a whole.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import public_tokenizers
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: Chunks that a process remembers; then it starts anew.
-CACHE = 400_000
+#: Chunks that a process remembers, for one column; then it starts anew. About 200 bytes each.
+CACHE = 1_400_000
 
 
 def byte_letters() -> list[str]:
@@ -42,7 +44,7 @@ class Chunks:
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[list, ...]], empty: tuple, special: str = "", special_values: tuple = (), limit: int = CACHE):
-        self.encode, self.empty, self.special, self.special_values, self.limit = encode, empty, special, special_values, limit
+        self.encode, self.empty, self.special, self.special_values, self.limit = encode, empty, special, special_values, limit * 2 // (1 + len(empty))
         self.known: list[dict] = [{} for _ in empty]
         self.odd: set[str] = set()
 
@@ -50,7 +52,8 @@ class Chunks:
         if len(self.known[0]) > self.limit:
             self.known, self.odd = [{} for _ in self.empty], set()
         need = need.difference(self.known[0])
-        odd = {p for p in need if p.strip() != p or not p}
+        # Printable text without a space has no white space at all.
+        odd = {p for p in need if not p or not p.isprintable() and p.strip() != p}
         self.odd |= odd
         new = list(need - odd)
         for column, values in zip(self.known, self.encode([" " + p for p in new]), strict=True):
@@ -107,24 +110,43 @@ class Chunks:
         return out
 
 
-def cut(texts: list[str], library: Callable[[str], list]) -> tuple[list[str], list[int]]:
-    """(the pre-tokens of all texts in a row, how many each text has). Texts that are one space and no other white space are cut in one go."""
-    plain = [t[:1] == " " and len(t.split()) == 1 and len(t.strip()) == len(t) - 1 and (t.isascii() or max(t) < "\u0530") for t in texts]
-    together = PATTERN.findall("\n".join([t for t, p in zip(texts, plain, strict=True) if p]) + "\n")
-    if not any(plain):
-        together = []
-    words: list[str] = []
-    counts: list[int] = []
-    ends = iter([k for k, w in enumerate(together) if w == "\n"])
-    at = 0
-    for t, p in zip(texts, plain, strict=True):
-        if p:
-            end = next(ends)
-            words += together[at:end]
-            counts.append(end - at)
-            at = end + 1
-        else:
-            own = pretokens(t, library)
-            words += own
-            counts.append(len(own))
-    return words, counts
+_FAR = regex.compile("[\u0530-\U0010ffff]")
+
+
+def cut(texts: list[str], library: Callable[[str], list]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    """(distinct pre-tokens, their numbers for all texts in a row, how many each text has, the texts' own places in that row).
+
+    Texts of one leading space and no other white space are cut together: joined by line ends, no pre-token goes over one.
+    """
+    near = [k for k, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t.isprintable() and " " not in t[1:]]
+    joined = "\n".join([texts[k] for k in near])
+    if _FAR.search(joined):
+        near = [k for k in near if not _FAR.search(texts[k])]
+        joined = "\n".join([texts[k] for k in near])
+    together = PATTERN.findall(joined)
+    chosen = set(near)
+    order = near + [k for k in range(len(texts)) if k not in chosen]
+    rest = [pretokens(texts[k], library) for k in order[len(near) :]]
+    every = dict.fromkeys(itertools.chain(("\n",), together, itertools.chain.from_iterable(rest)))
+    place = dict(zip(every, range(len(every)), strict=True))
+    which = np.fromiter(map(place.__getitem__, together), np.int64, len(together))
+    ends = np.flatnonzero(which == 0)
+    counts = np.diff(np.concatenate([[-1], ends, [len(which)]])) - 1 if near else np.zeros(0, np.int64)
+    more = np.fromiter((place[w] for own in rest for w in own), np.int64)
+    return list(place), np.concatenate([which[which != 0], more]), np.concatenate([counts, np.array([len(own) for own in rest], np.int64)]), order
+
+
+def gathered(of: np.ndarray, count: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, where each text's begin and end): of and count are the distinct words' ids, as in cut()."""
+    n = count[which]
+    begin = (np.cumsum(count) - count)[which]
+    every = of[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return every, np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def placed(values: list, order: list[int]) -> list:
+    """values, which are in order, as the texts were."""
+    out: list = [None] * len(order)
+    for k, v in zip(order, values, strict=True):
+        out[k] = v
+    return out

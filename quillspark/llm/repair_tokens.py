@@ -8,6 +8,7 @@ uint32, rules' expansion lengths uint32, symbols uint16. A document's symbols ar
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import uuid
 import zlib
@@ -48,10 +49,10 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEA
         h = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _HASH_BITS)
         h[last[:-1]] = size
         h = h.astype(np.int64)
-        rep = np.zeros(size + 1, np.int64)
-        rep[h] = np.arange(len(h))
-        same = (a[rep[h]] == a) & (b[rep[h]] == b)
-        same[last[:-1]] = False
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        rep = np.zeros(size + 1, np.uint64)
+        rep[h] = key
+        same = rep[h] == key
         count = np.bincount(h[same], minlength=size + 1)
         count[size] = 0
         often = np.flatnonzero(count >= least)
@@ -60,20 +61,24 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEA
         most = often[np.argsort(-count[often], kind="stable")][: min(ROUND_RULES, limit - first - len(left))]
         rank_of = np.full(size + 1, size, np.int32)
         rank_of[most] = np.arange(len(most), dtype=np.int32)
-        rank = np.where(same, rank_of[h], size)
+        rank = rank_of[h]
+        rank[~same] = size
         # Runs of one symbol: every other place, from the run's start.
-        twin = np.flatnonzero((a == b) & (rank < size))
+        twin = np.flatnonzero(a == b)
+        twin = twin[rank[twin] < size]
         if len(twin):
             start = np.concatenate([[True], np.diff(twin) > 1])
             run = twin - twin[np.maximum.accumulate(np.where(start, np.arange(len(twin)), 0))]
             rank[twin[run % 2 == 1]] = size
-        edge = np.concatenate([[size], rank, [size]])
-        take = np.flatnonzero((rank < size) & (rank < edge[:-2]) & (rank < edge[2:]))
+        take = np.flatnonzero(rank < size)
+        own, edge = rank[take], np.concatenate([rank, np.array([size, size], np.int32)])
+        take = take[(own < edge[take + 1]) & (own < edge[take - 1])]  # before the first comes the pad at the end
         if len(take) * 1000 < len(s) * LEAST_GAIN:
             break
         used, new = np.unique(rank[take], return_inverse=True)
-        left.extend(a[rep[most[used]]].tolist())
-        right.extend(b[rep[most[used]]].tolist())
+        pair = rep[most[used]]
+        left.extend((pair >> np.uint64(32)).tolist())
+        right.extend((pair & np.uint64(0xFFFFFFFF)).tolist())
         out = s.copy()
         out[take] = first + len(left) - len(used) + new
         end = last.copy()
@@ -181,18 +186,16 @@ class _Encoder:
         self.chunks = pretokens.Chunks(self._encode, (b"",), token.content, (struct.pack("<I", number),))
 
     def _encode(self, texts: list[str]) -> tuple[list[bytes]]:
-        words, cuts = pretokens.cut(texts, self.library)
-        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        words, which, cuts, order = pretokens.cut(texts, self.library)
         tokenize, letters = self.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in place]
-        count = np.array([len(x) for x in ids], np.int64)
-        of = np.array([i for x in ids for i in x], "<u4")
-        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        n = count[which]
-        begin = (np.cumsum(count) - count)[which]
-        every = of[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
-        end = (np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(cuts, np.int64))])] * 4).tolist()
-        return ([every[a:b] for a, b in zip(end, end[1:])],)
+        # Printable ASCII stands for itself but for the space.
+        mapped = [w.replace(" ", letters[32]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in words]
+        ids = [[t.id for t in tokenize(m)] for m in mapped]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        of = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(count.sum()))
+        every, end = pretokens.gathered(of, count, which, cuts)
+        flat, end = every.tobytes(), (end * 4).tolist()
+        return (pretokens.placed([flat[a:b] for a, b in zip(end, end[1:])], order),)
 
 
 @functools.lru_cache(1)
@@ -201,7 +204,7 @@ def _encoder(path: str) -> _Encoder:
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Shards of df's whole texts under folder, in ascending id (null first; equal ids by text); their index, itself written there.
+    """Shards of df's whole texts under folder, in ascending id (null first; equal ids by crc32, then text); their index, itself written there.
 
     Each text's ids, then END_ID. Rows are range-sorted by id; each task writes shards of about SHARD_IDS ids under names of its own, and
     the index, committed by Spark, names those of the attempts that count: (part, shard, file, docs, ids, start).
@@ -210,7 +213,8 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     common.prepare(spark)
     path = path or public_tokenizers.path(VOCABULARY)
     ordered = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(common.partitions(spark), "id", "text").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
+    # The digest deals out equal ids, and keeps texts out of the ranges' samples.
+    ordered = ordered.withColumn("crc", F.crc32(F.encode("text", "UTF-8"))).repartitionByRange(common.partitions(spark), "id", "crc").sortWithinPartitions("id", "crc", "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
         encoder, end = _encoder(path), struct.pack("<I", END_ID)
