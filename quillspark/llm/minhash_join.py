@@ -223,10 +223,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["id", "n", "set_key", "sig"])
 
     signed = common.persisted(source.mapInArrow(sign, "id long, n long, set_key binary, sig binary"), "signatures")
-    least = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    classed = common.persisted(signed.drop("sig").join(least, "set_key", "left").select("id", "n", "set_key", "rep"), "classes")
-    reps = signed.join(least.select(F.col("set_key").alias("k"), "rep"), (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("rep"))).select("rep", "n", "set_key", "sig").distinct()
-    reps = common.persisted(reps, "representatives")
+    least = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # Written, so that both sides of the joins are exchanged and adaptive execution can split a hot set.
+    least = common.persisted(least, "least")
+    ruled = signed.join(least, "set_key", "left").withColumn("rep", F.when(F.col("set_key").isNotNull(), F.coalesce("rep", "id")))
+    classed = common.persisted(ruled.select("id", "n", "set_key", "rep"), "classes")
+    reps = common.persisted(ruled.where("id = rep").select("rep", "n", "set_key", "sig").distinct(), "representatives")
 
     def filed(batches):
         for b in batches:
@@ -259,7 +261,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     block = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(F.col("c") / BLOCKS)))
     sizes = sizes.select(F.col("cluster").alias("of"), F.greatest(F.ceil(F.col("c") / block), F.least(F.col("c"), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = clusters.join(sizes, F.col("cluster") == F.col("of")).select("cluster", "rep", "set_key", "blocks", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
-    placed = placed.join(source.select(F.col("id").alias("rep"), "text"), "rep")
+    # Always a merge join: candidates grow with the input, so they are not broadcast at any size.
+    placed = placed.join(source.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")
 
     def linked(batches):
         for (_, i, j), rows in _runs(batches, ("cluster", "i", "j")):
