@@ -10,9 +10,7 @@ from quillspark.llm import bpe_automaton, common, exact_dedup, language_id, minh
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the model knows; null texts and those without a letter go."""
-    model = language_id.train(docs)
-    kept = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return kept.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.known(docs, language_id.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +25,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it, in rows of its own; the one at the cut is taken whole."""
-    plan = mixing.copies(mixing.mix(docs)).select(F.col("doc_id").alias("_id"), "copies").groupBy("_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    plan = mixing.copies(mixing.mix(docs)).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).drop("_mix_copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,6 +204,21 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
+def known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df's rows whose text has a language, all columns as they are; null texts and those without a letter go. No shuffle."""
+    common.prepare(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        own = shared.value
+        for b in batches:
+            lang, _ = own.predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each row of df: id_col, held_out, lang_pred, score. An empty table gives none; without labelled rows all are 'und'."""
     model = train(df, id_col, text_col, lang_col)

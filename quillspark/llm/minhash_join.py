@@ -226,7 +226,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     # Written, so that both sides of the joins are exchanged and adaptive execution can split a hot set.
     least = common.persisted(least, "least")
-    ruled = signed.join(least, "set_key", "left").withColumn("rep", F.when(F.col("set_key").isNotNull(), F.coalesce("rep", "id")))
+    ruled = signed.join(least, "set_key", "left").withColumn("rep", F.when(F.col("set_key").isNotNull() & F.col("id").isNotNull(), F.coalesce("rep", "id")))
     classed = common.persisted(ruled.select("id", "n", "set_key", "rep"), "classes")
     reps = common.persisted(ruled.where("id = rep").select("rep", "n", "set_key", "sig").distinct(), "representatives")
 
