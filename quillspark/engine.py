@@ -124,24 +124,27 @@ class Engine:
     # Search
 
     def rebuild_index(self, library_id: str | None = None) -> None:
-        """The index anew: of one library, the others' postings being kept, or of all. Postings, lengths and documents are written."""
+        """The index anew: of one library, the others' postings being kept, or of all. Postings, documents, their lengths and the statistics are written."""
         entities = self.store.read("entities")
         if library_id is not None:
             entities = entities.where(F.col("library_id") == library_id)
         docs = search.index_documents(entities, self.store.read("methods").join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))
-        post = search.postings(docs)
+        post, lengths = search.postings(docs), search.document_lengths(docs, keep=("library_id",))
         if library_id is not None:
             other = F.col("library_id") != library_id
             docs = self.store.read("search_docs").where(other).unionByName(docs)
             post = self.store.read("postings").where(other).unionByName(post)
+            lengths = self.store.read("doc_lengths").where(other).unionByName(lengths)
         # Sorted by term within files, so that a query's terms prune row groups.
         self.store.write("postings", post.repartitionByRange("term").sortWithinPartitions("term", "row_id"))
         self.store.write("search_docs", docs)
+        self.store.write("doc_lengths", lengths)
+        self.store.write("search_stats", search.corpus_stats(self.store.read("doc_lengths")))
 
     def search(self, library_id: str, query: str, mode: str = "all", k: int = search.TOP) -> DataFrame:
         """The best k rows of a library (search_docs' columns and rank); statistics are of all libraries."""
         docs, post = self.store.read("search_docs"), self.store.read("postings")
-        ranked = search.bm25(post, search.document_lengths(docs, post), plan.phrases(query), mode)
+        ranked = search.bm25(post, self.store.read("doc_lengths").select("row_id", "dl"), plan.phrases(query), mode, stats=self.store.read("search_stats"))
         mine = docs.where(F.col("library_id") == library_id)
         return search.top(ranked.join(mine, "row_id"), k)
 

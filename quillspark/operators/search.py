@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,9 +40,10 @@ def postings(docs: DataFrame, columns: Sequence[str] = COLUMNS, tokens: Callable
     return flat.select(*keep, "row_id", "col", F.posexplode("tokens").alias("pos", "term"))
 
 
-def document_lengths(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """(row_id, dl): tokens over all columns, 0 for rows without any."""
-    return docs.select("row_id").join(post.groupBy("row_id").agg(F.count(F.lit(1)).alias("dl")), "row_id", "left").select("row_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+def document_lengths(docs: DataFrame, columns: Sequence[str] = COLUMNS, tokens: Callable[[Column], Column] = text.fts_tokens_udf, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., row_id, dl): tokens over all columns, 0 for rows without any. Arrays' sizes, so no shuffle."""
+    sizes = [F.size(tokens(F.coalesce(F.col(c), F.lit("")))).cast("long") for c in columns]
+    return docs.select(*keep, "row_id", functools.reduce(operator.add, sizes).alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -67,10 +70,10 @@ def matches(post: DataFrame, phrases: list[list[str]], weights: Sequence[float])
     return whole.groupBy("row_id", "phrase").agg(F.sum(weight).alias("f"))
 
 
-def bm25(post: DataFrame, lengths: DataFrame, phrases: list[list[str]], mode: str = "all", weights: Sequence[float] = WEIGHTS) -> DataFrame:
+def bm25(post: DataFrame, lengths: DataFrame, phrases: list[list[str]], mode: str = "all", weights: Sequence[float] = WEIGHTS, stats: DataFrame | None = None) -> DataFrame:
     """(row_id, rank) of matching rows: ranks are negative, the least is best. Every phrase must match, or with mode 'any' one.
 
-    Statistics are of the whole index, whatever is filtered later. No phrases match no rows.
+    Statistics (one row, of lengths unless given) are of the whole index, whatever is filtered later. No phrases match no rows.
     """
     if not phrases:
         return lengths.select("row_id", F.lit(0.0).alias("rank")).limit(0)
@@ -79,7 +82,7 @@ def bm25(post: DataFrame, lengths: DataFrame, phrases: list[list[str]], mode: st
     raw = F.log((F.col("n_docs") - F.col("df_n") + 0.5) / (F.col("df_n") + 0.5))
     idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    all_of = f.join(F.broadcast(n), "phrase").join(lengths, "row_id").join(F.broadcast(corpus_stats(lengths)), F.lit(True))
+    all_of = f.join(F.broadcast(n), "phrase").join(lengths, "row_id").join(F.broadcast(corpus_stats(lengths) if stats is None else stats), F.lit(True))
     scored = all_of.groupBy("row_id").agg((-F.sum(score)).alias("rank"), F.count(F.lit(1)).alias("met"))
     return scored.where(F.col("met") >= (1 if mode == "any" else len(phrases))).select("row_id", "rank")
 

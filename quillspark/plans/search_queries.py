@@ -29,7 +29,7 @@ def _one_column(docs: DataFrame, of: str, column: str, extra: tuple[str, ...] =
 
 def _ranked(docs: DataFrame, columns: tuple[str, ...], words: str, mode: str, weights: tuple[float, ...], tokens: Callable = text.plain_tokens, of_query: Callable = plain) -> DataFrame:
     post = search.postings(docs, columns, tokens, ())
-    return search.bm25(post, search.document_lengths(docs, post), plan.phrases(words, of_query), mode, weights)
+    return search.bm25(post, search.document_lengths(docs, columns, tokens), plan.phrases(words, of_query), mode, weights)
 
 
 def _documents(spark, sf_dir: str, words: str, mode: str, **more) -> DataFrame:

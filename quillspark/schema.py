@@ -24,6 +24,9 @@ RELATIONS = "id long, method_id long, kind string, target_name string, target_ur
 #: One row for each indexed class or method; method_id is null for a class.
 SEARCH_DOCS = "row_id long, library_id string, entity_name string, method_name string, content string, entity_id long, method_id long, snippet_type string"
 POSTINGS = "library_id string, row_id long, col int, pos int, term string"
+DOC_LENGTHS = "library_id string, row_id long, dl long"
+#: One row: the index's documents and their mean length.
+SEARCH_STATS = "n_docs long, avgdl double"
 SESSIONS = "id long, library_id string, status string, total_urls int, success_count int, fail_count int, skip_count int, started_at timestamp, completed_at timestamp"
 PROGRESS = "id long, session_id long, url string, item_type string, status string, error_type string, error_message string, parent_entity string, processed_at timestamp"
 
