@@ -96,7 +96,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         left = persisted(moved.where("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct(), "edges")
     if label is None:
         return spark.createDataFrame([], "node long, root long")
-    first = label.groupBy("root").agg(F.min("node").alias("least"))
+    # Written, so that the join exchanges both sides and adaptive execution can split a hot component.
+    first = persisted(label.groupBy("root").agg(F.min("node").alias("least")), "least")
     return label.join(first, "root").select("node", F.col("least").alias("root"))
 
 

@@ -83,6 +83,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
 def equal_text_edges(docs: DataFrame) -> DataFrame:
     """(a, b): of rows (id, sha) each to the smallest id of its digest, for digests of several ids: as many edges as rows, not pairs."""
     hub = docs.groupBy("sha").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "b")
+    # Written, so that the join exchanges both sides and adaptive execution can split a hot digest.
+    hub = common.persisted(hub, "hubs")
     return docs.join(hub, "sha").select(F.col("id").alias("a"), "b").where("a is not null and b is not null and a <> b")
 
 

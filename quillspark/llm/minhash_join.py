@@ -260,6 +260,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"))
     block = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(F.col("c") / BLOCKS)))
     sizes = sizes.select(F.col("cluster").alias("of"), F.greatest(F.ceil(F.col("c") / block), F.least(F.col("c"), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    sizes = common.persisted(sizes, "sizes")  # as with least: a hot cluster can be split in the join
     placed = clusters.join(sizes, F.col("cluster") == F.col("of")).select("cluster", "rep", "set_key", "blocks", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
     # Always a merge join: candidates grow with the input, so they are not broadcast at any size.
     placed = placed.join(source.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")

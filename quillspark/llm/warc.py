@@ -126,7 +126,9 @@ def duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", "html", F.concat(F.sha1(body), F.sha2(body, 256)).alias("_key"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("_n"))
-    most = keyed.where(F.col("_n") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_to"))
+    most = keyed.where(F.col("_n") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_to"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    # Written, so that the join exchanges both sides and adaptive execution can split a hot payload.
+    most = common.persisted(most, "payloads")
     refers = F.when(F.col("page_id") < F.col("_to"), F.col("_to"))
     return keyed.join(most, "_key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
