@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -245,8 +246,6 @@ def stream_incremental_ingest(spark, sf_dir):
     from ..streaming.ingest import upsert_stream
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    import uuid
-
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     at: list[str] = []
 
@@ -259,7 +258,7 @@ def stream_incremental_ingest(spark, sf_dir):
         at.append(path)
 
     source = table(spark, sf_dir, "events")
-    # A file source takes folders: the table is one file or a folder of files.
-    stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*[f"{sf_dir}/events.parquet"])
+    # The table is one file or a folder of files: without a search for partitions either will do.
+    stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     upsert_stream(stream, apply, f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(at[-1])

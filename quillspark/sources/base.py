@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import time
 import urllib.error
 import urllib.request
@@ -108,9 +107,3 @@ def fetched(urls: DataFrame, make_fetch: Callable[[float], Fetch], workers: int
 def pages_fetch(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """fetched() from a table of pages (url, html) instead of a network: a left join."""
     return urls.select("url").join(pages.select("url", "html").dropDuplicates(["url"]), "url", "left").withColumn("error", F.when(F.col("html").isNull(), F.concat(F.lit("HTTP 404: "), "url")))
-
-
-def backoff(attempt: int, jitter: bool = False) -> float:
-    """Seconds before a try; the first has none."""
-    wait = 0.0 if attempt < 1 else float(2 ** (attempt - 1))
-    return wait * random.uniform(0.5, 1) if jitter else wait
