@@ -181,6 +181,30 @@ def confirmed(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent:
     return out
 
 
+class Spanning:
+    """A spanning forest of the links seen in a task: of those that come, the ones that join two trees. Starts anew after so many nodes."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.parent: dict[int, int] = {}
+        self.most = most
+
+    def _root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent.setdefault(up, up)
+        return x
+
+    def new(self, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if len(self.parent) > self.most:
+            self.parent = {}
+        out = []
+        for a, b in links:
+            x, y = self._root(a), self._root(b)
+            if x != y:
+                self.parent[y] = x
+                out.append((a, b))
+        return out
+
+
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*rows, strict=True) if rows else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -245,10 +269,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = members.join(reps.select("rep", "sig"), "rep")
 
     def compared(batches):
+        # Buckets share members: what is connected already in this task is not told again.
         found: list[tuple[int, int]] = []
+        forest = Spanning()
         for (_, i, j), rows in _runs(batches, ("key", "i", "j")):
             s = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            found += near_pairs(rows.column("rep").to_numpy(), rows.column("side").to_numpy(), s, t, i != j)
+            found += forest.new(near_pairs(rows.column("rep").to_numpy(), rows.column("side").to_numpy(), s, t, i != j))
             if len(found) >= 10_000:
                 yield _links(found)
                 found = []
