@@ -9,7 +9,7 @@ from quillspark.llm import bpe_automaton, common, exact_dedup, language_id, minh
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the model knows; null texts and those without a letter go."""
+    """Documents of a language that the model knows (all, if none is labelled); null texts and those without a letter go."""
     return language_id.known(docs, language_id.train(docs))
 
 

@@ -16,7 +16,7 @@ from . import common
 from .bpe_automaton import Table
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Labelled rows that each language's model is fitted on, about, and their longest text: the bound of the training sample.
+#: Labelled rows that each language's model is fitted on, about, and what each gives in characters, about: the bound of the training sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 20_000
 #: Rounds of expectation maximisation; what each piece's expected count gets added.
 ROUNDS, SMOOTHING = 4, 0.02
@@ -121,6 +121,16 @@ def units_of(word: str) -> list[str]:
     return [word] if len(word) <= UNIT_CHARS else [word[k : k + UNIT_CHARS] for k in range(0, len(word), UNIT_CHARS)]
 
 
+def sampled(text: str, seed: int) -> list[str]:
+    """The units of a text's words; of one with more than SAMPLE_CHARS in them, units picked at random all over it, about so many characters."""
+    units = [u for w in text.split() for u in units_of(w)]
+    size = sum(map(len, units))
+    if size <= SAMPLE_CHARS:
+        return units
+    pick = np.random.Generator(np.random.PCG64(seed % 2**64)).random(len(units)) < SAMPLE_CHARS / size
+    return [units[k] for k in np.flatnonzero(pick)]
+
+
 @functools.lru_cache(1)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
@@ -168,9 +178,10 @@ def held_out(id_col: str) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, path: str | None = None) -> Model:
-    """A model of the languages of rows that aren't held out: about docs of each, picked by a hash of their id, texts up to SAMPLE_CHARS."""
+    """A model of the languages of rows that aren't held out and have a letter: about docs of each, picked by a hash of their id, whatever their length."""
     path = path or public_tokenizers.path(VOCABULARY)
-    rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    common.prepare(df.sparkSession)
+    rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col, F.lit(17)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0), np.zeros((0, 0)), path)
@@ -178,10 +189,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("l") == lang, F.lit(min(1.0, docs / n))).otherwise(share)
-    pick = (F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000) & (F.length("t") <= SAMPLE_CHARS)
+
+    def run(batches):
+        for b in batches:
+            found = Counter((lang, u) for h, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True) for u in sampled(t, h))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["l", "u", "n"])
+
     counts: dict[str, Counter] = {k: Counter() for k in sorted(sizes)}
-    for r in rows.where(pick).select("t", "l").toLocalIterator():
-        counts[r["l"]].update(u for w in r["t"].split() for u in units_of(w))
+    for r in rows.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).mapInArrow(run, "l string, u string, n long").toLocalIterator():
+        counts[r["l"]][r["u"]] += r["n"]
     counts = {k: c for k, c in counts.items() if c}
     if not counts:
         return Model([], np.zeros(0), np.zeros((0, 0)), path)
@@ -205,7 +221,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
 
 def known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df's rows whose text has a language, all columns as they are; null texts and those without a letter go. No shuffle."""
+    """df's rows whose text has a language, all columns as they are; null texts and those without a letter go, whether the model has languages or none. No shuffle."""
     common.prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -213,8 +229,12 @@ def known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches):
         own = shared.value
         for b in batches:
-            lang, _ = own.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if own.languages:
+                keep = [x != UNDETERMINED for x in own.predict(texts)[0]]
+            else:
+                keep = [bool(t and LETTER.search(t)) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -67,6 +67,35 @@ def test_languages_of_odd_rows(docs):
     assert got(language_id.identify(docs([(1, "abc", None)])), "doc_id", "lang_pred") == {1: ("und",)}
 
 
+def test_languages_of_long_texts(docs):
+    """Languages are learnt from long texts as from short ones, and of one long text units from all of it are taken."""
+    long = "der Hund und die Katze " * 1000
+    rows = [(k, "the cat and the dog", "en") for k in range(20)] + [(100 + k, long, "de") for k in range(20)] + [(200, "die Katze und der Hund", None), (201, "the dog", None)]
+    assert language_id.train(docs(rows)).languages == ["de", "en"]
+    out = got(language_id.identify(docs(rows)), "doc_id", "lang_pred")
+    assert all(out[k] == ("en" if k < 100 or k == 201 else "de",) for k in out)
+    only = [(k, long, "de") for k in range(20)]
+    assert set(got(language_id.identify(docs(only)), "doc_id", "lang_pred").values()) == {("de",)}
+    text = " ".join(f"w{k}" for k in range(50_000))
+    units = language_id.sampled(text, -5)
+    at = [int(u[2:]) for u in units]
+    assert units == language_id.sampled(text, -5) and at == sorted(set(at))
+    assert 0.9 < sum(map(len, units)) / language_id.SAMPLE_CHARS < 1.1
+    assert min(np.histogram(at, 10, (0, 50_000))[0]) > 200
+    assert sum(map(len, language_id.sampled("中" * 1_000_000, 1))) < 1.5 * language_id.SAMPLE_CHARS
+
+
+def test_languages_of_mostly_empty_rows(docs):
+    rows = [(k, "der Hund" if k % 500 == 0 else "", "de") for k in range(5000)] + [(9000 + k, "the cat", "en") for k in range(20)]
+    assert language_id.train(docs(rows)).languages == ["de", "en"]
+
+
+def test_no_labels_keep_all_with_a_letter(docs):
+    df = docs([(1, "abc", None), (2, None, None), (3, "12 %", None), (4, "and more", None)])
+    model = language_id.train(df)
+    assert model.languages == [] and sorted(r.doc_id for r in language_id.known(df, model).collect()) == [1, 4]
+
+
 def brute_spans(text):
     """The contract's three patterns as they stand."""
     out = []
