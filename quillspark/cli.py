@@ -6,7 +6,8 @@ import argparse
 import logging
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import server
 from .engine import Engine
@@ -45,22 +46,30 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run_crawl(engine: Engine, args) -> int:
-    source, spark = SOURCES[args.source](), engine.spark
-    first = Fetcher(args.rps)
-    _, pages = source.listing(first(BASE + CLASSES))
+def listed(spark: SparkSession, source, args) -> DataFrame:
+    """(url, slug, tier) of a source's entities, from its listing pages; one that can't be fetched is warned about."""
+    _, pages = source.listing(Fetcher(args.rps)(BASE + CLASSES))
     urls = spark.createDataFrame([(BASE + CLASSES if k == 1 else f"{BASE}{CLASSES}page/{k}/",) for k in range(1, pages + 1)], "url string")
     listing = fetched(urls, Fetcher, args.workers, args.rps).cache()
-    found = crawl.discovered(listing.where("error is null"), source)
-    last = engine.store.read("sessions").where(tables.F.col("library_id") == source.id).orderBy(tables.F.col("id").desc()).first()
-    if last and (args.retry_failed or args.resume and last.status == "interrupted"):
-        progress = engine.store.read("progress").where(tables.F.col("session_id") == last.id)
-        found = tables.retryable(progress).where("item_type = 'entity'").select("url") if args.retry_failed else tables.remaining(found.select("url"), progress)
-    entities = fetched(found, Fetcher, args.workers, args.rps).cache()
-    links = crawl.parse_entities(entities, source).select(tables.F.explode("method_urls").alias("url")).distinct()
-    methods = fetched(links, Fetcher, args.workers, args.rps).cache()
-    every = entities.unionByName(methods).where("error is null")
-    session = engine.ingest(source, listing.where("error is null"), every)
+    for r in listing.where("error is not null").toLocalIterator():
+        logging.warning("listing page %s: %s", r.url, r.error)
+    return crawl.discovered(listing.where("error is null"), source)
+
+
+def run_crawl(engine: Engine, args) -> int:
+    source, session, again = SOURCES[args.source](), None, None
+    last = engine.store.read("sessions").where(F.col("library_id") == source.id).orderBy(F.col("id").desc()).first()
+    progress = engine.store.read("progress").where(F.col("session_id") == last.id) if last else None
+    methods = lambda failed: failed.where("item_type = 'method'").select("url", F.col("parent_entity").alias("entity_slug"))
+    if last and args.retry_failed:
+        session, failed = last.id, tables.retryable(progress)
+        found, again = failed.where("item_type = 'entity'"), methods(failed)
+    elif last and args.resume and last.status != "completed":  # a killed crawl stays in_progress
+        session = last.id
+        found, again = tables.remaining(listed(engine.spark, source, args), progress), methods(tables.failures(progress))
+    else:
+        found = listed(engine.spark, source, args)
+    session = engine.crawl(source, found, lambda urls: fetched(urls, Fetcher, args.workers, args.rps).cache(), session, again)
     print(crawl.summary(engine.store.read("progress"), session))
     return 0
 

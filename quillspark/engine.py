@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .operators import crawl, search, snippets, tables
 from .plans import phrases as plan
+from .sources.base import pages_fetch
 
 RESOLVED = 5
 
@@ -172,20 +174,49 @@ class Engine:
 
     # Crawls
 
-    def ingest(self, source, listing: DataFrame, pages: DataFrame, session: int | None = None) -> int:
-        """One crawl over fetched tables: listing (url, html) and pages (url, html). Entities, methods, relations and progress are
-        upserted, wrappers resolved, the index rebuilt; the session's id comes back. A method counts as done by itself."""
-        lib = source.id
+    def ingest(self, source, listing: DataFrame, pages: DataFrame) -> int:
+        """One crawl over fetched tables: listing (url, html) and pages (url, html and, if there is one, error)."""
+        return self.crawl(source, crawl.discovered(listing, source), lambda urls: pages_fetch(pages, urls))
+
+    def crawl(self, source, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], session: int | None = None, again: DataFrame | None = None) -> int:
+        """One crawl of found (url), with fetch from urls to (url, html, error). Entities, methods, relations and progress are
+        upserted, wrappers resolved, the index rebuilt; the session's id comes back. A method counts as done by itself.
+
+        A given session is gone on with; again (url, entity_slug) are methods to fetch besides those of found. What stops the
+        crawl leaves its session 'interrupted', with the progress of the stages that were finished.
+        """
         self.upsert_library(source.meta())
         sessions = self.store.read("sessions")
-        session = session or (sessions.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1)
-        from .sources.base import pages_fetch
+        found = found.select("url").dropDuplicates(["url"])
+        if session is None:
+            session = sessions.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+            start = self.spark.range(1).select(F.lit(session).cast("long").alias("id"), F.lit(source.id).alias("library_id"), F.lit("in_progress").alias("status"), F.lit(found.count()).cast("int").alias("total_urls"), F.lit(0).alias("success_count"), F.lit(0).alias("fail_count"), F.lit(0).alias("skip_count"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"))
+            self.store.upsert("sessions", start, "started_at")
+        else:
+            self.store.write("sessions", tables.close_session(sessions, session, "in_progress").withColumn("completed_at", F.when(F.col("id") != session, F.col("completed_at"))))
+        try:
+            self._stages(source, found, fetch, session, again)
+        except BaseException:
+            self._end(session, "interrupted")
+            self.rebuild_index(source.id)
+            raise
+        self._end(session, "completed")
+        self.rebuild_index(source.id)
+        return session
 
-        found = crawl.discovered(listing, source).dropDuplicates(["url"])
-        now = F.current_timestamp()
-        start = self.spark.range(1).select(F.lit(session).cast("long").alias("id"), F.lit(lib).alias("library_id"), F.lit("in_progress").alias("status"), F.lit(found.count()).cast("int").alias("total_urls"), F.lit(0).alias("success_count"), F.lit(0).alias("fail_count"), F.lit(0).alias("skip_count"), now.alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"))
-        self.store.upsert("sessions", start, "started_at")
-        parsed = crawl.parse_entities(pages_fetch(pages, found), source)
+    def _end(self, session: int, status: str) -> None:
+        """A session's status, and the counts of its progress."""
+        stats = tables.crawl_stats(self.store.read("progress").where(F.col("session_id") == session)).first()
+        ended = tables.close_session(self.store.read("sessions"), session, status)
+        mine = F.col("id") == session
+        if stats:
+            ended = ended.withColumn("success_count", F.when(mine, F.lit(stats.success).cast("int")).otherwise(F.col("success_count"))).withColumn("fail_count", F.when(mine, F.lit(stats.failed).cast("int")).otherwise(F.col("fail_count")))
+        self.store.write("sessions", ended)
+
+    def _stages(self, source, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], session: int, again: DataFrame | None) -> None:
+        """A crawl's entities, then its methods. Between the two the methods stand in progress as failed for an interruption."""
+        lib, now = source.id, F.current_timestamp()
+        parsed = crawl.parse_entities(fetch(found), source)
         hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
         key = lambda *c: hashed(F.lit(lib), *c)
         good = parsed.where("error is null")
@@ -194,8 +225,19 @@ class Engine:
         properties = good.select(key(F.col("slug")).alias("entity_id"), F.explode("properties").alias("p")).select("entity_id", "p.name", "p.description").dropDuplicates(["entity_id", "name"])
         properties = properties.select(hashed("entity_id", "name").alias("id"), "entity_id", "name", F.lit("").alias("type"), "description", F.lit("public").alias("visibility"), F.lit("").alias("since"))
         self.store.write("properties", tables.replace_children(self.store.read("properties"), properties, "entity_id"))
-        owners = good.select(F.col("slug").alias("entity_slug"), key(F.col("slug")).alias("entity_id"), F.explode("method_urls").alias("url")).dropDuplicates(["url"])
-        methods = crawl.parse_methods(pages_fetch(pages, owners), source)
+        owners = good.select(F.col("slug").alias("entity_slug"), F.explode("method_urls").alias("url"))
+        if again is not None:
+            owners = owners.unionByName(again.select("entity_slug", "url"))
+        owners = owners.withColumn("entity_id", key(F.col("entity_slug"))).dropDuplicates(["url"])
+        waiting = crawl.progress_rows(owners.withColumn("error", F.lit("canceled: not fetched yet")), session, "method", "entity_slug")
+
+        def note(rows: DataFrame) -> None:
+            rows = rows.withColumn("id", hashed("session_id", "url")).select(*schema.names(schema.PROGRESS))
+            self.store.upsert("progress", rows, "processed_at", ("id", "item_type", "parent_entity"))
+
+        note(crawl.progress_rows(parsed, session, "entity").unionByName(waiting))
+        pages = fetch(owners)
+        methods = crawl.parse_methods(pages, source)
         owned = methods.where("error is null").join(owners, "url")
         full = crawl.resolved(owned, pages, source)
         rows = full.select(hashed("entity_id", "slug").alias("id"), "entity_id", "slug", "name", "signature", "description", "parameters", "return_type", "return_desc", "source_code", "wrapped_source", "wrapped_method", "url", "since", now.alias("created_at"), now.alias("updated_at"))
@@ -204,14 +246,4 @@ class Engine:
         relations = owned.select(hashed("entity_id", "slug").alias("method_id"), F.explode("relations").alias("r")).select("method_id", "r.*")
         relations = relations.select(hashed("method_id", "kind", "target_name", "target_url").alias("id"), "method_id", "kind", "target_name", "target_url", "description")
         self.store.write("relations", tables.replace_children(self.store.read("relations"), relations, "method_id"))
-        progress = crawl.progress_rows(parsed, session, "entity").unionByName(crawl.progress_rows(methods.join(owners.select("url", "entity_slug"), "url"), session, "method", "entity_slug"))
-        progress = progress.withColumn("id", hashed("session_id", "url")).select(*schema.names(schema.PROGRESS))
-        self.store.upsert("progress", progress, "processed_at", ("id", "item_type", "parent_entity"))
-        stats = tables.crawl_stats(self.store.read("progress").where(F.col("session_id") == session)).first()
-        ended = tables.close_session(self.store.read("sessions"), session, "completed")
-        mine = F.col("id") == session
-        if stats:
-            ended = ended.withColumn("success_count", F.when(mine, F.lit(stats.success).cast("int")).otherwise(F.col("success_count"))).withColumn("fail_count", F.when(mine, F.lit(stats.failed).cast("int")).otherwise(F.col("fail_count")))
-        self.store.write("sessions", ended)
-        self.rebuild_index(lib)
-        return session
+        note(crawl.progress_rows(methods.join(owners.select("url", "entity_slug"), "url"), session, "method", "entity_slug"))

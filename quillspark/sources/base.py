@@ -105,5 +105,8 @@ def fetched(urls: DataFrame, make_fetch: Callable[[float], Fetch], workers: int
 
 
 def pages_fetch(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """fetched() from a table of pages (url, html) instead of a network: a left join."""
-    return urls.select("url").join(pages.select("url", "html").dropDuplicates(["url"]), "url", "left").withColumn("error", F.when(F.col("html").isNull(), F.concat(F.lit("HTTP 404: "), "url")))
+    """fetched() from a table of pages (url, html and, if there is one, error) instead of a network: a left join. A page not in it is a 404."""
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    own = pages.select("url", "html", error.alias("error")).dropDuplicates(["url"])
+    missing = F.when(F.col("html").isNull(), F.concat(F.lit("HTTP 404: "), "url"))
+    return urls.select("url").join(own, "url", "left").withColumn("error", F.coalesce("error", missing))

@@ -45,6 +45,67 @@ def test_twice_ingested_is_once_stored(engine):
     assert {(f.url, f.error_type) for f in failed} == {(f"{BASE}{CLASSES}gone/", "http_404")}
 
 
+LISTING = f'<div class="wp-block-wporg-code-short-title"><a href="{CLASSES}wp_query/">q</a><a href="{CLASSES}busy/">b</a><a href="{CLASSES}gone/">g</a></div>'
+QUERY = f"{BASE}{CLASSES}wp_query/"
+
+
+@pytest.fixture
+def site(spark, monkeypatch):
+    """A site of pages (html, or an error) for the command line; the urls that were asked for, in order of stages. A page that is an exception stops the crawl."""
+    pages, asked = {BASE + CLASSES: LISTING, QUERY: CLASS, f"{QUERY}query/": METHOD, f"{BASE}{CLASSES}busy/": CLASS.replace("WP_Query", "Busy").replace("wp_query", "busy"), f"{BASE}{CLASSES}busy/query/": METHOD}, []
+
+    def fetch(urls, *_):
+        want = sorted(r.url for r in urls.select("url").collect())
+        asked.append(want)
+        rows = []
+        for url in want:
+            page = pages.get(url, ValueError(f"HTTP 404: {url}"))
+            if isinstance(page, KeyboardInterrupt):
+                raise page
+            rows.append((url, None, str(page)) if isinstance(page, Exception) else (url, page, None))
+        return spark.createDataFrame(rows, "url string, html string, error string")
+
+    monkeypatch.setattr(cli, "fetched", fetch)
+    monkeypatch.setattr(cli, "Fetcher", lambda rps: pages.__getitem__)
+    return pages, asked
+
+
+def run(engine, *flags):
+    cli.run_crawl(engine, cli.parser().parse_args(["crawl", *flags]))
+    return {r.url.removeprefix(BASE + CLASSES): (r.status, r.error_type) for r in engine.store.read("progress").collect()}
+
+
+def test_transient_failures_are_retried(spark, tmp_path, site):
+    pages, asked = site
+    e = Engine(spark, f"file://{tmp_path}/s")
+    busy, method = pages[f"{BASE}{CLASSES}busy/"], pages[f"{QUERY}query/"]
+    pages[f"{BASE}{CLASSES}busy/"], pages[f"{QUERY}query/"] = ValueError("server error 503: u"), ValueError("HTTP 429: u")
+    first = {"wp_query/": ("success", None), "busy/": ("failed", "http_5xx"), "gone/": ("failed", "http_404"), "wp_query/query/": ("failed", "http_429")}
+    assert run(e) == first
+    pages[f"{BASE}{CLASSES}busy/"], pages[f"{QUERY}query/"] = busy, method
+    asked.clear()
+    assert run(e, "--retry-failed") == dict.fromkeys(["wp_query/", "busy/", "busy/query/", "wp_query/query/"], ("success", None)) | {"gone/": ("failed", "http_404")}
+    assert asked[0] == [f"{BASE}{CLASSES}busy/"] and QUERY not in sum(asked, []) and f"{QUERY}query/" in asked[1]
+    assert [(s.id, s.status, s.total_urls, s.success_count, s.fail_count) for s in e.store.read("sessions").collect()] == [(1, "completed", 3, 4, 1)]
+    assert e.store.read("methods").count() == e.store.read("entities").count() == 2
+
+
+def test_a_stopped_crawl_is_resumed(spark, tmp_path, site):
+    pages, asked = site
+    e = Engine(spark, f"file://{tmp_path}/s")
+    method, pages[f"{QUERY}query/"] = pages[f"{QUERY}query/"], KeyboardInterrupt()
+    with pytest.raises(KeyboardInterrupt):
+        run(e)
+    assert [(s.status, s.success_count, s.fail_count) for s in e.store.read("sessions").collect()] == [("interrupted", 2, 3)]
+    assert {r.error_type for r in tables.retryable(e.store.read("progress")).collect()} == {"interrupted"}
+    pages[f"{QUERY}query/"] = method
+    asked.clear()
+    assert run(e, "--resume")["wp_query/query/"] == ("success", None)
+    assert QUERY not in sum(asked, [])
+    assert [(s.id, s.status, s.success_count, s.fail_count) for s in e.store.read("sessions").collect()] == [(1, "completed", 4, 1)]
+    assert e.store.read("methods").count() == 2 and e.query_docs("/wordpress/classes", "runs query").text
+
+
 def test_search(engine):
     result = engine.query_docs("/wordpress/classes", "runs query")
     hit = result.snippets.first()
