@@ -239,7 +239,7 @@ class Engine:
         pages = fetch(owners)
         methods = crawl.parse_methods(pages, source)
         owned = methods.where("error is null").join(owners, "url")
-        full = crawl.resolved(owned, pages, source)
+        full = crawl.resolved(owned, crawl.with_targets(owned, pages, fetch, source), source)
         rows = full.select(hashed("entity_id", "slug").alias("id"), "entity_id", "slug", "name", "signature", "description", "parameters", "return_type", "return_desc", "source_code", "wrapped_source", "wrapped_method", "url", "since", now.alias("created_at"), now.alias("updated_at"))
         rows, _ = tables.with_parents(rows, self.store.read("entities"), "entity_id", "id")
         self.store.upsert("methods", rows.select(*schema.names(schema.METHODS)), keep_first=("id", "created_at"))

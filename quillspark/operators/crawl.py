@@ -95,12 +95,8 @@ def target_url(target: str, kind: str, slug: str) -> Column:
     )
 
 
-def resolved(methods: DataFrame, pages: DataFrame, source: Source, hops: int = HOPS) -> DataFrame:
-    """methods (url, entity_slug, source_code) with wrapped_method and wrapped_source: delegation followed for at most hops pages.
-
-    Each hop is a left join of the targets' urls with the pages' source code, parsed once for each page. The class stays the first
-    method's. A missing page or one without code ends the chain. Always the full chain, whatever the order of work.
-    """
+def page_codes(pages: DataFrame, source: Source) -> DataFrame:
+    """(_url, _found) of pages (url, html) that have source code."""
 
     @F.pandas_udf("string")
     def code_of(htmls: pd.Series) -> pd.Series:
@@ -112,7 +108,33 @@ def resolved(methods: DataFrame, pages: DataFrame, source: Source, hops: int = H
 
         return htmls.map(one)
 
-    codes = pages.select(F.col("url").alias("_url"), code_of("html").alias("_found")).where("_found is not null").dropDuplicates(["_url"])
+    return pages.select(F.col("url").alias("_url"), code_of("html").alias("_found")).where("_found is not null").dropDuplicates(["_url"])
+
+
+def with_targets(methods: DataFrame, pages: DataFrame, fetch: Callable[[DataFrame], DataFrame], source: Source, hops: int = HOPS) -> DataFrame:
+    """pages (url, html, error) with those that the delegation of methods (entity_slug, source_code) leads to, each fetched once: one round for each hop.
+
+    A target that can't be fetched ends its chain.
+    """
+    front = methods.select("entity_slug", "source_code")
+    for _ in range(hops):
+        to = detected(front, source).select("entity_slug", F.col("wrapper.target").alias("_target"), F.col("wrapper.kind").alias("_kind"))
+        to = to.select("entity_slug", target_url("_target", "_kind", "entity_slug").alias("_to")).where("_to <> ''").distinct()
+        wanted = to.select(F.col("_to").alias("url")).distinct().join(pages.select("url"), "url", "left_anti")
+        if not wanted.isEmpty():
+            pages = pages.unionByName(fetch(wanted))
+        front = to.join(page_codes(pages, source), F.col("_to") == F.col("_url")).select("entity_slug", F.col("_found").alias("source_code"))
+    return pages
+
+
+def resolved(methods: DataFrame, pages: DataFrame, source: Source, hops: int = HOPS) -> DataFrame:
+    """methods (url, entity_slug, source_code) with wrapped_method and wrapped_source: delegation followed for at most hops pages.
+
+    Each hop is a left join of the targets' urls with the pages' source code, parsed once for each page. The class stays the first
+    method's. A missing page or one without code ends the chain. Always the full chain, whatever the order of work.
+    """
+
+    codes = page_codes(pages, source)
     out = methods.withColumn("_code", F.col("source_code")).withColumn("wrapped_method", F.lit(None).cast("string")).withColumn("wrapped_source", F.lit(None).cast("string"))
     for _ in range(hops):
         out = detected(out, source, "_code").select("*", F.col("wrapper.target").alias("_target"), F.col("wrapper.kind").alias("_kind")).drop("wrapper")

@@ -106,6 +106,18 @@ def test_a_stopped_crawl_is_resumed(spark, tmp_path, site):
     assert e.store.read("methods").count() == 2 and e.query_docs("/wordpress/classes", "runs query").text
 
 
+def test_delegation_targets_are_fetched(spark, tmp_path, site):
+    pages, asked = site
+    e = Engine(spark, f"file://{tmp_path}/s")
+    code = "<h1>f</h1><section><h2 id=source>S</h2><pre><code>function {}() {{\n\treturn {}();\n}}</code></pre></section>"
+    pages[f"{QUERY}query/"] = METHOD.replace("$this->get_posts", "f1")
+    pages |= {f"{BASE}/reference/functions/{a}/": code.format(a, b) for a, b in (("f1", "f2"), ("f2", "f3"))}
+    run(e)
+    rows = {r.url: r for r in e.store.read("methods").collect()}
+    assert rows[f"{QUERY}query/"].wrapped_method == "f1 → f2" and "return f3();" in rows[f"{QUERY}query/"].wrapped_source
+    assert sum(asked, []).count(f"{BASE}/reference/functions/f1/") == 1
+
+
 def test_search(engine):
     result = engine.query_docs("/wordpress/classes", "runs query")
     hit = result.snippets.first()
