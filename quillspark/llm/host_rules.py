@@ -25,7 +25,7 @@ def _covered(at: Column) -> Column:
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df without text_col, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (null text: none).
 
-    Windows of three words are compared by 64-bit hashes, their upper 44 bits while sorting.
+    Windows of three words are told by hashes, their upper 44 bits in most texts; those that agree are compared word by word.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in df.columns if c != text_col]
@@ -38,12 +38,17 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     short = F.size(w) < (1 << POSITION_BITS)
     packed = F.sort_array(F.transform(starts, lambda x, i: F.shiftleft(F.shiftright(hashed(x, i), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))))
     pairs = F.sort_array(F.transform(starts, lambda x, i: F.struct(hashed(x, i).alias("h"), i.cast("long").alias("i"))))
-    a = a.select(*rest, "n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.when(short, packed).alias("_s"), F.when(~short, pairs).alias("_p"))
+    a = a.select(*rest, "n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.when(short, packed).alias("_s"), F.when(~short, pairs).alias("_p"), "_w")
     s, p = F.col("_s"), F.col("_p")
     high = lambda x: F.shiftright(x, POSITION_BITS)
     near = lambda a, x, i, f: f(F.get(a, i + 1)).eqNullSafe(f(x)) | f(F.get(a, i - 1)).eqNullSafe(f(x))
     mask = F.lit((1 << POSITION_BITS) - 1).cast("long")
-    at = F.sort_array(F.coalesce(F.transform(F.filter(s, lambda x, i: near(s, x, i, high)), lambda x: x.bitwiseAND(mask)), F.transform(F.filter(p, lambda x, i: near(p, x, i, lambda y: y["h"])), lambda x: x["i"])))
+    like = F.coalesce(F.transform(F.filter(s, lambda x, i: near(s, x, i, high)), lambda x: x.bitwiseAND(mask)), F.transform(F.filter(p, lambda x, i: near(p, x, i, lambda y: y["h"])), lambda x: x["i"]))
+    a = a.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", like.alias("_c"), "_w")
+    window = lambda i: F.array_join(F.slice(w, i.cast("int") + 1, 3), " ")
+    a = a.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(F.transform("_c", lambda i: F.struct(window(i).alias("g"), i.alias("i")))).alias("_g"))
+    g = F.col("_g")
+    at = F.sort_array(F.transform(F.filter(g, lambda x, i: near(g, x, i, lambda y: y["g"])), lambda x: x["i"]))
     a = a.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", at.alias("_at"))
     return a.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("_at")).alias("n_repeat_words"))
 

@@ -107,3 +107,11 @@ def test_hosts(docs):
     out = got(host_rules.host_verdicts(docs(rows)), "doc_id", "base_failed", "kept")
     assert out[0] == (False, True) and out[100] == (True, False) and out[200] == (False, False) and out[300] == (False, True)
     assert host_rules.host_verdicts(docs([])).count() == 0
+
+
+def test_windows_of_equal_hash_bits_are_compared(docs, monkeypatch):
+    """With eight bits of the hashes many windows agree, but only equal ones count."""
+    monkeypatch.setattr(host_rules, "POSITION_BITS", 56)
+    text = " ".join(f"w{k}" for k in range(2000))
+    out = got(host_rules.word_counts(docs([(1, text), (2, f"{text} w5 w6 w7"), (3, None), (4, "a b")]).select("doc_id", "text")), "doc_id", "n_repeat_words")
+    assert out == {1: (0,), 2: (6,), 3: (0,), 4: (0,)}
