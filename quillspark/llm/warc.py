@@ -24,8 +24,8 @@ DATE = "2020-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page: int, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page}:{segment}')}>"
+def record_id(row: int, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'row:{row}:{segment}')}>"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -63,22 +63,22 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def page_records(page: int, url: str, payload: bytes, digest: str, refers: int | None) -> Iterator[bytes]:
-    """A page's records, gzip members: a response in as many segments as it takes, or a revisit."""
+def page_records(row: int, page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None = None, refers_row: int | None = None) -> Iterator[bytes]:
+    """A row's records, gzip members: a response in as many segments as it takes, or a revisit of another row's page. A null page id has no header."""
     target = re.sub(r"[\r\n]", " ", url or "")
-    common_headers = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page)]
+    common_headers = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), *([] if page is None else [("X-Page-Id", page)])]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page)), *common_headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page-Id", refers), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http;msgtype=response")], http)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(row)), *common_headers, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_row)), ("X-Refers-To-Page-Id", refers), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http;msgtype=response")], http)
         return
     block = http + chunked(payload)
     parts = [block[k : k + SEGMENT_BYTES] for k in range(0, len(block), SEGMENT_BYTES)]
     for k, part in enumerate(parts, 1):
-        own = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page, k)), *common_headers, ("WARC-Block-Digest", f"sha1:{base32_sha1(part)}")]
+        own = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(row, k)), *common_headers, ("WARC-Block-Digest", f"sha1:{base32_sha1(part)}")]
         if len(parts) > 1:
             own.append(("WARC-Segment-Number", k))
         if k > 1:
-            own.append(("WARC-Segment-Origin-ID", record_id(page)))
+            own.append(("WARC-Segment-Origin-ID", record_id(row)))
             if k == len(parts):
                 own.append(("WARC-Segment-Total-Length", len(block)))
         yield _record([*own, ("Content-Type", "application/http;msgtype=response")], part)
@@ -119,31 +119,30 @@ def _members(data: bytes, step: int = 32 << 10) -> Iterator[bytes]:
 
 
 def duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): of pages with equal payloads of least_bytes or more the largest id is kept, the others refer to it.
+    """(row, page_id, url, html, refers_to, refers_row): of pages with equal payloads of least_bytes or more those with the largest id are kept, the others refer to one.
 
-    Payloads are equal when both SHA-1 and SHA-256 of their bytes are. Partial maxima leave one row a task for each payload; the
-    join's hot payloads are split by adaptive execution.
+    Payloads are equal when both SHA-1 and SHA-256 of their bytes are. Every row has a number of its own, so repeated ids are rows like any
+    others; a null id is less than any, and rows of null ids only are all kept. Rows are written once with their numbers and
+    digests. Partial maxima leave one row a task for each payload; the join's hot payloads are split by adaptive execution.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", "url", "html", F.concat(F.sha1(body), F.sha2(body, 256)).alias("_key"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("_n"))
-    most = keyed.where(F.col("_n") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_to"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.concat(F.sha1(body), F.sha2(body, 256)).alias("_key"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("_n"), F.monotonically_increasing_id().alias("row"))
+    keyed = common.persisted(keyed, "pages")
+    most = keyed.where(F.col("_n") >= least_bytes).groupBy("_key").agg(F.max(F.struct("page_id", "row")).alias("_to"), F.count(F.lit(1)).alias("_c")).where("_c > 1 and _to.page_id is not null").drop("_c")
     # Written, so that the join exchanges both sides and adaptive execution can split a hot payload.
     most = common.persisted(most, "payloads")
-    refers = F.when(F.col("page_id") < F.col("_to"), F.col("_to"))
-    return keyed.join(most, "_key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    other = F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to.page_id"))
+    return keyed.join(most, "_key", "left").select("row", "page_id", "url", "html", F.when(other, F.col("_to.page_id")).alias("refers_to"), F.when(other, F.col("_to.row")).alias("refers_row"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Archives of pages (page_id, url, html) under folder: their index (file, bytes), committed by Spark, names the attempts that count.
 
-    Null html is empty. Rows with a null page_id are left out: no record could name them. Equal page ids give equal record ids;
-    one row of each page id is written (the largest html).
+    Each row is a record, repeated and null ids too. Null html is empty. A file is closed once it holds ARCHIVE_BYTES, so one record
+    may make it larger.
     """
     common.prepare(pages.sparkSession)
-    one = pages.where("page_id is not null").select("page_id", "url", "html")
-    if _repeats(one):
-        one = one.groupBy("page_id").agg(F.max(F.struct(F.coalesce("html", F.lit("")).alias("html"), F.coalesce("url", F.lit("")).alias("url"))).alias("p")).select("page_id", "p.url", "p.html")
-    rows = duplicates(one, least_bytes)
+    rows = duplicates(pages, least_bytes)
 
     def run(batches):
         out: list[bytes] = []
@@ -158,9 +157,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
             out, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)])], ["file", "bytes"])
 
-        for page, url, html, refers in common.rows(batches, "page_id", "url", "html", "refers_to"):
+        for row, page, url, html, refers, refers_row in common.rows(batches, "row", "page_id", "url", "html", "refers_to", "refers_row"):
             payload = (html or "").encode()
-            for record in page_records(page, url, payload, base32_sha1(payload), refers):
+            for record in page_records(row, page, url, payload, base32_sha1(payload), refers, refers_row):
                 out.append(record)
                 size += len(record)
                 if size >= ARCHIVE_BYTES:
@@ -173,11 +172,6 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     return pages.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
 
-def _repeats(pages: DataFrame) -> bool:
-    """Whether a page id stands in more than one row."""
-    return not pages.groupBy("page_id").count().where("count > 1").isEmpty()
-
-
 PARSED = "page_id long, origin string, segment long, total long, type string, digest string, refers_to long, length long, block binary"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -195,7 +189,7 @@ def parse(index: DataFrame) -> DataFrame:
                 if kind not in ("response", "revisit", "continuation"):
                     continue
                 number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                row = {"page_id": int(h["x-page-id"]), "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "segment": number, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "type": kind, "digest": h["warc-payload-digest"].removeprefix("sha1:"), "refers_to": None, "length": None, "block": None}
+                row = {"page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "segment": number, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "type": kind, "digest": h["warc-payload-digest"].removeprefix("sha1:"), "refers_to": None, "length": None, "block": None}
                 if kind == "revisit":
                     row |= {"refers_to": int(h["x-refers-to-page-id"]), "length": int(h["x-payload-length"])}
                 elif number is None:
@@ -238,13 +232,14 @@ def reassemble(segments: DataFrame) -> DataFrame:
         digest = base32_sha1(payload)
         if digest != pdf["digest"].iloc[0]:
             raise ValueError(f"record {key[0]}: the payload's digest differs")
-        return pd.DataFrame({"page_id": [int(pdf["page_id"].iloc[0])], "payload_bytes": [len(payload)], "payload_digest": [digest], "record_type": ["response"], "refers_to": pd.array([None], "Int64")})
+        page = pdf["page_id"].iloc[0]
+        return pd.DataFrame({"page_id": pd.array([None if pd.isna(page) else int(page)], "Int64"), "payload_bytes": [len(payload)], "payload_digest": [digest], "record_type": ["response"], "refers_to": pd.array([None], "Int64")})
 
     return segments.groupBy("origin").applyInPandas(join, RESULT)
 
 
 def read(index: DataFrame) -> DataFrame:
-    """One row for each page of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row for each page's record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     The archives are parsed once; the records' rows, with segments' blocks, are written before they part ways.
     """
@@ -254,7 +249,7 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """read(write(pages)) in a new shared folder. Empty tables give none; see write() for nulls and repeated ids."""
+    """read(write(pages)) in a new shared folder: one row for each row of pages, with repeated and null ids too. An empty table gives none."""
     return read(write(pages, common.work_dir(pages.sparkSession, "warc"), least_bytes))
 
 
@@ -266,6 +261,6 @@ g as (select page_id, strlen(h) as payload_bytes, sha1(h) as hex, max(page_id) o
 b as (select *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(('0x' || substr(hex, i::int + 1, 1))::int), 4, '0')), 'string_agg', '') as bits from g)
 select page_id, payload_bytes::bigint as payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda i: substr('{BASE32}', (list_sum(list_transform(range(0, 5), lambda j: substr(bits, (i * 5 + j)::int + 1, 1)::int * (1 << (4 - j)::int))))::int + 1, 1)), 'string_agg', '') as payload_digest,
-       case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id = top then null else top end as refers_to
+       case when top is null or page_id = top then 'response' else 'revisit' end as record_type, case when page_id = top then null else top end as refers_to
 from b
 """

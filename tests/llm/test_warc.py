@@ -30,7 +30,7 @@ def test_bad_framing():
 
 def test_records_are_read_as_written():
     payload = b"x\r\n\r\nWARC/1.1" * 9000
-    data = b"".join(warc.page_records(7, "http://a\r\nb", payload, warc.base32_sha1(payload), None))
+    data = b"".join(warc.page_records(0, 7, "http://a\r\nb", payload, warc.base32_sha1(payload)))
     rows = list(warc.records(data))
     assert [h["warc-type"] for h, _ in rows] == ["response"] + ["continuation"] * (len(rows) - 1) and len(rows) > 2
     assert rows[-1][0]["warc-segment-total-length"] == str(sum(len(b) for _, b in rows))
@@ -63,8 +63,33 @@ def test_small_pages_stay_responses(spark):
 
 
 def test_repeated_and_null_ids(spark):
-    df = spark.createDataFrame([(1, "u", "a", "", 0), (1, "u", "b", "", 0), (None, "u", "c", "", 0)], PAGES)
-    assert got(warc.round_trip(df), "page_id", "payload_bytes", "record_type") == {1: (1, "response")}
+    """Every row is a record: repeated ids with equal and other payloads, null ids, segmented ones among them."""
+    long = "s" * 90_000
+    rows = [(1, "a"), (1, "b"), (1, "a"), (None, "a"), (None, "c"), (None, "c"), (2, "a"), (3, long), (3, long), (None, long), (2**62 + 1, "")]
+    df = spark.createDataFrame([(i, "u", h, "", 0) for i, h in rows], PAGES)
+    top = {h: max((i for i, g in rows if g == h and i is not None), default=None) for _, h in rows}
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = [(i, len(h), *(("response", None) if top[h] in (None, i) else ("revisit", top[h]))) for i, h in rows]
+    out = warc.round_trip(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert sorted(map(key, out)) == sorted(map(key, want))
+
+
+def test_sql_agrees_on_odd_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    pages = pd.DataFrame({"page_id": pd.array([1, 1, 2, None, None, None, 3], "Int64"), "html": ["a", "a", "a", "a", "b", "b", None]})  # noqa: F841
+    want = duckdb.sql(warc.SQL).fetchall()
+    df = spark.createDataFrame([(1, "u", "a", "", 0), (1, "u", "a", "", 0), (2, "u", "a", "", 0), (None, "u", "a", "", 0), (None, "u", "b", "", 0), (None, "u", "b", "", 0), (3, "u", None, "", 0)], PAGES)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, warc.round_trip(df).collect())) == sorted(map(key, want))
+
+
+def test_a_page_larger_than_an_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1000)
+    pages = {k: "".join(random.Random(k).choices("abcdefgh", k=n)) for k, n in enumerate((10, 200_000, 10, 70_000))}
+    out = warc.round_trip(spark.createDataFrame([(k, None, h, "d", 1) for k, h in pages.items()], PAGES))
+    assert got(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == {k: (len(h), warc.base32_sha1(h.encode()), "response", None) for k, h in pages.items()} | {2: (10, warc.base32_sha1(pages[2].encode()), "response", None)}
 
 
 def test_missing_segments_are_errors(spark):
