@@ -1,8 +1,15 @@
-"""Secret scans: fixed patterns, and a linear-chain conditional random field that tags words as begin, inside or outside of a secret."""
+"""Secret scans: fixed patterns, and a linear-chain conditional random field that tags words as begin, inside or outside of a secret.
+
+The field learns from the values that the patterns find. Beside the windows as they are it gets disguised ones: the key word is
+another word, and the value is drawn anew from another alphabet, so that shape and context have to do what the patterns' words did. What it
+tags beyond the patterns are secrets under names, or in forms, that these don't know.
+"""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -24,14 +31,19 @@ _ASSIGN_SIGNS = ("passw", "secret", "token", "key")
 
 #: Words whose presence in a word is a feature.
 LEXICON = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "akia")
-#: Rows that the model is fitted on, about, and a text's longest: the bound of the training sample.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
-#: Words around a secret, and on each side of a random place, that are fitted; steps and strength of the fit.
+#: Rows that the model is fitted on, about, and windows of a row, at most, picked by hash: the bound of the training sample.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 12
+#: Words on each side of a secret, or of another place, that are fitted; steps and strength of the fit.
 WINDOW, STEPS, L2 = 12, 90, 1e-3
+#: Disguises of a window: names, and alphabets and lengths of values.
+NAMES = ("pwd", "pass", "auth", "bearer", "credential", "private_key", "access_key", "session", "signature", "client", "connection", "login")
+ALPHABETS = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+VALUE_CHARS, DISGUISES = (12, 48), 6
 O, B, I = range(3)  # noqa: E741
 CACHE = 300_000
 _EDGE = "\"'`.,;:!?()[]{}<>"
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_NAME = re.compile(r"(password|passwd|secret|token|api_?key)", re.IGNORECASE | re.ASCII)
 _SHAPES = [(re.compile(p), c) for p, c in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "9"), (r"[^\x00-\x7f]+", "u"))]
 
 
@@ -160,24 +172,67 @@ class Crf:
         return tags[::-1]
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Where the base patterns' secrets themselves are: an assignment's value, or the whole match; overlapping ones are one."""
+    found = sorted([(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST] + [(s, e) for k, s, e in base_spans(text) if k])
+    out: list[tuple[int, int]] = []
+    for s, e in found:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def disguised(words: list[str], tags: list[int], rng: random.Random) -> tuple[list[str], list[int]]:
+    """A window with each secret, and the name before it, put in another form: a value drawn anew, under another name or a plain word, or under none."""
+    plain = [w for w, t in zip(words, tags, strict=True) if t == O and w.isalpha()] or ["of"]
+    out: list[str] = []
+    own: list[int] = []
+    for w, tag in zip(words, tags, strict=True):
+        if tag == O:
+            out.append(w)
+            own.append(O)
+        elif tag == B:
+            while out and own[-1] == O and (out[-1].strip(_EDGE) in ("", "=") or _NAME.search(out[-1])):
+                out.pop()
+                own.pop()
+            value = "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(*VALUE_CHARS)))
+            value = rng.choice(("{}", "{}", '"{}"', "'{}'", "{};", "{},", "{}.")).format(value)
+            name = rng.choice(NAMES) if rng.random() < 0.7 else rng.choice(plain)
+            form = rng.choice(([name, "=", value], [name + ":", value], [name + "=" + value], [name, value], [name, "is", value], [value]))
+            out += form
+            own += [B if x.endswith(value) else O for x in form]
+    return out[: 2 * WINDOW + 1], own[: 2 * WINDOW + 1]
+
+
 def windows(text: str, seed: int) -> list[tuple[list[str], list[int], int]]:
-    """(words, tags, file feature) around the base spans of a text and around one place picked by seed; tags say what the spans cover."""
-    places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    """(words, tags, file feature) around the secrets that the patterns find in a text, as they are and disguised, and around one word and one
+    odd word that are none, picked by seed. Tags say which words hold secrets. Of more than SAMPLE_WINDOWS some are picked."""
+    places = [(m.start(), m.end()) for m in _words(text)]
     if not places:
         return []
-    words = [text[a:b] for a, b in places]
-    tags, centres = [O] * len(words), [seed % len(words)]
+    words, rng = [text[a:b] for a, b in places], random.Random(seed)
+    tags, centres = [O] * len(words), []
     starts = [a for a, _ in places]
-    for _, s, e in base_spans(text):
-        k = max(0, int(np.searchsorted(starts, s, side="right")) - 1)
+    for s, e in values(text):
+        k = max(0, bisect.bisect_right(starts, s) - 1)
         centres.append(k)
         begun = False
         while k < len(words) and starts[k] < e:
             tags[k], begun = (I if begun else B), True
             k += 1
-    share = sum("odd" in features(w) for w in words) / len(words)
-    own = int(file_features(np.array([share]), np.array([len(words)]))[0])
-    return [(words[max(0, c - WINDOW) : c + WINDOW + 1], tags[max(0, c - WINDOW) : c + WINDOW + 1], own) for c in dict.fromkeys(centres)]
+    odd = ["odd" in features(w) for w in words]
+    own = int(file_features(np.array([sum(odd) / len(words)]), np.array([len(words)]))[0])
+    other = [k for k, o in enumerate(odd) if o and tags[k] == O]
+    centres = rng.sample(centres, min(len(centres), SAMPLE_WINDOWS // 3))
+    out = []
+    for c in dict.fromkeys([*centres, rng.randrange(len(words)), *rng.sample(other, min(1, len(other)))]):
+        near = slice(max(0, c - WINDOW), c + WINDOW + 1)
+        out.append((words[near], tags[near], own))
+        if tags[c] != O:
+            out += [(*disguised(words[near], tags[near], rng), own) for _ in range(DISGUISES)]
+    return out
 
 
 def fit(samples: list[tuple[list[str], list[int], int]]) -> Crf:
@@ -242,13 +297,19 @@ def fit(samples: list[tuple[list[str], list[int], int]]) -> Crf:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS) -> Crf:
-    """A CRF fitted on windows of about docs rows, picked by a hash of id and text, texts up to SAMPLE_CHARS; what the base patterns cover are the tags."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    n = df.count()
-    pick = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000))
-    rows = rows.where(pick < F.lit(1_000_000 * min(1.0, docs / max(n, 1)))).withColumn("pick", pick)
-    samples = [(r["pick"], r["text"]) for r in rows.toLocalIterator()]
-    return fit([w for pick, text in sorted(samples) for w in windows(text, pick)])
+    """A CRF fitted on windows of about docs rows, of any length, picked by a hash of id and text (repeated rows are one). The windows are cut out where the rows are."""
+    common.prepare(df.sparkSession)
+    rows = df.where(F.length(text_col) > 0).select(F.xxhash64(id_col, text_col, F.lit(29)).alias("pick"), F.col(text_col).alias("text"))
+    n = rows.count()
+    rows = rows.where(F.pmod("pick", F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, docs / max(n, 1)))).dropDuplicates(["pick"])
+
+    def run(batches):
+        for pick, text in common.rows(batches, "pick", "text"):
+            found = windows(text, pick)
+            yield pa.RecordBatch.from_arrays([pa.array([pick] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), *(pa.array([w[k] for w in found], kind) for k, kind in enumerate((pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())))], ["pick", "k", "words", "tags", "own"])
+
+    found = rows.mapInArrow(run, "pick long, k int, words array<string>, tags array<int>, own int").collect()
+    return fit([(list(r["words"]), list(r["tags"]), r["own"]) for r in sorted(found, key=lambda r: (r["pick"], r["k"]))])
 
 
 def scan(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,7 +360,7 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digests(scan(df)) with a CRF trained on df. Repeated rows give repeated rows, an empty table none; without a sample the CRF adds nothing."""
+    """digests(scan(df)) with a CRF trained on df. Null texts are empty, null ids and repeated rows are rows like any others, an empty table gives none; without a sample the CRF adds nothing."""
     return digests(scan(df, train(df, id_col, text_col), id_col, text_col), id_col)
 
 
