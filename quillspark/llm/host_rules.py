@@ -11,8 +11,8 @@ from . import common
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Further failures, which count for the host's rate only: symbols, or repeated lines, for each 100 words.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 30, 30
-#: A host's documents go when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
+#: A host's documents go when its shrunk failure rate is above the most; or so many of the prior's deviations above the prior's mean, and above the least.
+HOST_DEVIATIONS, LEAST_HOST_RATE, MOST_HOST_RATE = 3.0, 0.3, 0.6
 #: Bits for a word's position beside its window's hash; longer texts sort pairs instead.
 POSITION_BITS = 20
 
@@ -53,13 +53,15 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return a.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("_at")).alias("n_repeat_words"))
 
 
-def host_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", deviations: float = HOST_DEVIATIONS, least_rate: float = LEAST_HOST_RATE, most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """One row for each row of df: id_col, the five counts, base_failed, host_rate, kept.
 
     base_failed: under MIN_WORDS words, or over MAX_REPEAT_PERCENT of the words in repeated windows. A document counts
     against its host when that holds or it has too many symbols or repeated lines. Over the hosts' rates, mean and variance
     give a beta prior (by moments; of weight 1 if the rates don't vary); a host's rate is (failures + a) / (rows + a + b).
-    kept: not base_failed and the host's rate at most max_rate. A null host is a host. An empty table gives an empty result.
+    kept: not base_failed, and the host's rate at most the prior's mean plus so many deviations, but no less than least_rate and no more than
+    most_rate: hosts that are out of line with the others go, and those that mostly fail. A null host is a host; null ids and
+    repeated rows are rows like any others; texts of any length are whole. An empty table gives an empty result.
     Counts are written once; hosts are aggregated with partial sums, and the join's hot hosts are split by adaptive execution.
     """
     plain = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
@@ -69,12 +71,14 @@ def host_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fails = F.col("base_failed") | (F.col("n_symbols") * 100 > F.col("n_words") * MAX_SYMBOL_PERCENT) | (F.col("n_dup_lines") * 100 > F.col("n_words") * MAX_DUP_LINE_PERCENT)
     hosts = docs.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"), F.sum(fails.cast("long")).alias("_f"))
     rate = F.col("_f") / F.col("_n")
+    hosts = common.persisted(hosts, "hosts")
     m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
     m, v = m or 0.0, v or 0.0
     weight = m * (1 - m) / v - 1 if v > 1e-12 and v < m * (1 - m) else 1.0
+    highest = min(most_rate, max(least_rate, m + deviations * (m * (1 - m) / (weight + 1)) ** 0.5))
     shrunk = (F.col("_f") + m * weight) / (F.col("_n") + weight)
     out = docs.join(hosts.select(F.col("_host").alias("_of"), shrunk.alias("host_rate")), F.col("_host").eqNullSafe(F.col("_of")))
-    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), (~F.col("base_failed") & (F.col("host_rate") <= highest)).alias("kept"))
 
 
 SQL = rf"""
@@ -90,8 +94,8 @@ b as (select *, n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * {MAX_R
 h as (select source, count(*) as n, sum((base_failed or n_symbols * 100 > n_words * {MAX_SYMBOL_PERCENT} or n_dup_lines * 100 > n_words * {MAX_DUP_LINE_PERCENT})::int) as f from b group by 1),
 m as (select avg(f / n) as m, var_pop(f / n) as v from h),
 k as (select m, case when v > 1e-12 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1.0 end as weight from m),
-s as (select source, (f + m * weight) / (n + weight) as host_rate from h cross join k)
+s as (select source, (f + m * weight) / (n + weight) as host_rate, least({MOST_HOST_RATE}, greatest({LEAST_HOST_RATE}, m + {HOST_DEVIATIONS} * sqrt(m * (1 - m) / (weight + 1)))) as highest from h cross join k)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 6) as host_rate,
-       not base_failed and host_rate <= {MAX_HOST_RATE} as kept
+       not base_failed and host_rate <= highest as kept
 from b join s on b.source is not distinct from s.source
 """

@@ -101,6 +101,18 @@ def test_very_long_texts_sort_pairs(docs, monkeypatch):
     test_word_counts(docs)
 
 
+def test_hosts_out_of_line_go(docs):
+    """Of 30 hosts that fail in a tenth of their documents one fails in half: its good documents go too, and the others' stay."""
+    good, bad = " ".join(f"w{k}" for k in range(60)), "short"
+    rows = [(h * 100 + k, bad if k < (20 if h == 7 else 3 + h % 3) else good, "en", f"host{h}") for h in range(30) for k in range(40)]
+    out = host_rules.host_verdicts(docs(rows)).collect()
+    for r in out:
+        assert r.kept == (r.doc_id // 100 != 7 and r.doc_id % 100 >= 3 + (r.doc_id // 100) % 3)
+    # Where all hosts are alike, none goes.
+    rows = [(h * 100 + k, bad if k < 20 else good, "en", f"host{h}") for h in range(5) for k in range(40)] + [(None, good, "en", None)] * 40 + [(None, bad, "en", None)] * 40
+    assert all(r.kept == (not r.base_failed) for r in host_rules.host_verdicts(docs(rows)).collect())
+
+
 def test_hosts(docs):
     good = " ".join(f"w{k}" for k in range(80))
     rows = [(k, good, "en", "fine") for k in range(30)] + [(100 + k, "short", "en", "bad") for k in range(30)] + [(200, good, "en", "bad"), (300, good, "en", None)]
