@@ -17,12 +17,14 @@ BATCH_ROWS = 512
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; that setting gets a local folder only where it is unset."""
+    """A new folder's URI below spark.checkpoint.dir. Where that is unset and Spark runs in one machine's process, it gets a local folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -50,14 +52,16 @@ def partitions(spark: SparkSession) -> int:
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], group: str | None = None) -> DataFrame:
     """df with, for each name of sums, the sum of that column over all rows before (in order; within the group, if given).
 
-    Rows are range-sorted (the group comes first), written, and numbered in two levels: totals for each
+    Rows are written with a number of their own, range-sorted (the group comes first), written, and numbered in two levels: totals for each
     partition (and group), then running sums inside a partition. No task sees more than one range partition;
-    the totals are as many as partitions and groups together. Ties in order are broken by nothing, so give a total order.
+    the totals are as many as partitions and groups together. Equal rows are parted by their numbers, so a hot key can be split.
     """
     spark = df.sparkSession
     lead = [F.col(group).asc_nulls_last()] if group else []
     flat = df.select("*", *(c.alias(f"_size_{k}") for k, c in sums.items()), *(c.alias(f"_o{i}") for i, c in enumerate(order)))
-    keys = lead + [F.col(f"_o{i}").asc_nulls_last() for i in range(len(order))]
+    flat = persisted(flat.withColumn("_tie", F.monotonically_increasing_id()), "flat")
+    inner = [F.col(c).asc_nulls_last() for c in (*(f"_o{i}" for i in range(len(order))), "_tie")]
+    keys = lead + inner
     n = partitions(spark)
     ranged = flat.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
     ranged = persisted(ranged, "ranged")
@@ -65,7 +69,7 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], gro
     totals = ranged.groupBy(*by).agg(*(F.sum(f"_size_{k}").alias(f"_total_{k}") for k in sums))
     before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*(F.col(c).alias(f"_at_{c}") for c in by), *(F.coalesce(F.sum(f"_total_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums))
-    inside = Window.partitionBy(*by).orderBy(*(F.col(f"_o{i}").asc_nulls_last() for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *(F.coalesce(F.sum(f"_size_{k}").over(inside), F.lit(0)).alias(f"_in_{k}") for k in sums))
     met = local.join(offsets, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in by])
     return met.select(*(F.col(c) for c in df.columns), *((F.col(f"_base_{k}") + F.col(f"_in_{k}")).cast("long").alias(k) for k in sums))

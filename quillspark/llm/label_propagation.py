@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,8 +69,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         quotas = _quotas(counted, load, cap)
         if not quotas:
             break
+        cuts = {(a, b): cut for a, b, cut in quotas}
         for r in counted:
-            if any((r["label"], r["to"]) == (a, b) and r["rank"] < cut for a, b, cut in quotas):
+            if r["rank"] < cuts.get((r["label"], r["to"]), 0):
                 load[r["label"]] -= r["n"]
                 load[r["to"]] += r["n"]
         # At most one row for each pair of shards.
@@ -88,14 +89,30 @@ def equal_text_edges(docs: DataFrame) -> DataFrame:
     return docs.join(hub, "sha").select(F.col("id").alias("a"), "b").where("a is not null and b is not null and a <> b")
 
 
+def _deal(over: Column, free: list[float], shards: int) -> Column:
+    """The shard whose free room holds place over, when free rooms are laid end to end; the last one with room takes what is beyond them."""
+    ends, at = [], 0.0
+    for k in range(shards):
+        if free[k] > 0:
+            at += free[k]
+            ends.append((k, at))
+    out = F.lit(ends[-1][0] if ends else 0)
+    for k, end in reversed(ends[:-1]):
+        out = F.when(over < end, k).otherwise(out)
+    return out
+
+
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: DataFrame | None = None, law: str = "rows", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """One row for each row of df: id_col, size, text_crc32, law, shard, slot, grown_shard (null).
+    """One row for each row of df: id_col, size, text_crc32, law, shard, slot, grown_shard (null), label.
 
     size: UTF-8 bytes of the text (null: none) plus 8. edges (a, b) link ids; by default equal texts are linked, a star for each
-    digest. After propagation rows are put in the order of label, anchor, id and cut into shards: of equal counts (law "rows",
-    at most one apart) or of equal bytes (law "bytes", a row belongs where it begins); slot numbers a shard's rows from 0. So
-    a group stays together but where a shard is full. Null ids come last and are linked with none; repeated rows are
+    digest. Law "rows": a row goes to the shard of its label while that has room for it, which is an equal share of the rows (counts at
+    most one apart); in a label linked rows come first, in order of anchor and id, then unlinked ones; those beyond the room fill what others
+    have left. Law "bytes": rows in order of label, then the same, are cut into equal bytes, a row belonging where it begins. Unlinked rows get
+    labels by hash, in proportion to the room that linked ones leave. slot numbers a shard's rows from 0. Null ids are linked with none; repeated rows are
     rows of their own; an empty table gives none.
+
+    Rows are ranked within labels by two-level prefix sums; the driver holds numbers for each shard only.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"no such law: {law}")
@@ -104,24 +121,32 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges:
     docs = common.persisted(docs, "documents")
     labels = propagate(docs, equal_text_edges(docs) if edges is None else edges, shards, rounds)
     placed = docs.drop("sha").join(labels.withColumnRenamed("id", "_of"), F.col("id") == F.col("_of"), "left").drop("_of")
-    # Unlinked documents go where the linked ones leave room.
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     linked = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    free = F.pmod(F.xxhash64("id", "text_crc32"), F.lit(1 << 30)) / (1 << 30)
     room = [max(0.0, n / shards - linked.get(k, 0)) for k in range(shards)]
-    free, level, fill = F.pmod(F.xxhash64("id", "text_crc32"), F.lit(1 << 30)) / (1 << 30), sum(room), F.lit(shards - 1)
-    for k in reversed(range(shards - 1)):
-        level -= room[k + 1]
-        fill = F.when(free < (level / sum(room) if sum(room) else 1), k).otherwise(fill)
-    placed = placed.select("id", "size", "text_crc32", F.coalesce("label", fill).alias("label"), F.coalesce("anchor", "id").alias("anchor"))
-    order = [F.col(c) for c in ("label", "anchor", "id", "text_crc32", "size")]
-    ranked = common.prefix_sums(placed, order, {"rank": F.lit(1).cast("long"), "at": F.col("size")})
-    ranked = common.persisted(ranked, "ranked")
-    if law == "rows":
-        q, more = divmod(n, shards)
-        own = F.when(F.col("rank") < (q + 1) * more, F.floor(F.col("rank") / (q + 1))).otherwise(more + F.floor((F.col("rank") - (q + 1) * more) / max(q, 1)))
+    placed = placed.select("id", "size", "text_crc32", F.coalesce("label", _deal(free * sum(room), room, shards)).alias("label"), F.when(F.col("label").isNull(), 1).otherwise(0).alias("loose"), F.coalesce("anchor", "id").alias("anchor"))
+    order = [F.col(c) for c in ("loose", "anchor", "id", "text_crc32", "size")]
+    if law == "bytes":
+        ranked = common.prefix_sums(placed, [F.col("label"), *order], {"at": F.col("size")}).withColumn("shard", F.floor(F.col("at") * shards / max(total, 1)).cast("int"))
     else:
-        own = F.floor(F.col("at") * shards / max(total, 1))
-    ranked = ranked.withColumn("shard", own.cast("int"))
-    first = F.broadcast(ranked.groupBy("shard").agg(F.min("rank").alias("first")))  # as many rows as shards
-    out = ranked.join(first, "shard")
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "label")
+        ranked = common.persisted(common.prefix_sums(placed, order, {"at": F.lit(1).cast("long")}, "label"), "ranked")
+        count = {r["label"]: r["count"] for r in ranked.groupBy("label").count().collect()}
+        share = [n // shards + (k < n % shards) for k in range(shards)]
+        beyond = [max(0, count.get(k, 0) - share[k]) for k in range(shards)]
+        # Rows beyond a label's share, of all labels in a row, fill the free room of all shards in a row.
+        before, share_of = F.lit(0), F.lit(0)
+        for k in range(shards):
+            before = F.when(F.col("label") == k, sum(beyond[:k]) - share[k]).otherwise(before)
+            share_of = F.when(F.col("label") == k, share[k]).otherwise(share_of)
+        dealt = _deal(F.col("at") + before, [max(0, share[k] - count.get(k, 0)) for k in range(shards)], shards)
+        ranked = ranked.withColumn("shard", F.when(F.col("at") < share_of, F.col("label")).otherwise(dealt).cast("int"))
+    out = common.prefix_sums(ranked, [F.col(c) for c in ("loose", "anchor", "id", "text_crc32", "size", "label")], {"slot": F.lit(1).cast("long")}, "shard")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "label")
+
+
+def cut_edges(sharded: DataFrame, edges: DataFrame, id_col: str = "doc_id") -> tuple[int, int]:
+    """(edges whose ends are in different shards, all edges)."""
+    of = sharded.select(F.col(id_col).alias("id"), "shard")
+    met = edges.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
+    return tuple(met.agg(F.count_if(F.col("sa") != F.col("sb")), F.count(F.lit(1))).first())

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -101,6 +102,7 @@ def test_shards(docs, law):
     count, size, slots, groups = Counter(), Counter(), defaultdict(list), defaultdict(set)
     text = dict(rows)
     for r in out:
+        assert r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode())
         assert r.law == law and r.size == len((text[r.doc_id] or "").encode()) + 8 and r.grown_shard is None
         count[r.shard] += 1
         size[r.shard] += r.size
@@ -113,6 +115,25 @@ def test_shards(docs, law):
     assert sum(len(groups[f"group {k}"]) > 1 for k in range(40)) <= 8 and max(hot.values()) >= 0.7 * len(rows) / 8
 
 
+def test_labels_are_shards(docs):
+    """Few rows leave their label's shard, and propagation cuts far fewer links than the labels it begins with."""
+    random.seed(9)
+    rows = [(k, f"group {k % 200}" if k < 800 else f"own {k}") for k in range(2000)] + [(5000, "é" * 200_000), (5001, None), (5001, None)]
+    df = docs(rows)
+    out = label_propagation.shard(df)
+    assert out.where("shard = label").count() >= 0.93 * len(rows)
+    links = label_propagation.equal_text_edges(df.selectExpr("doc_id as id", "sha2(text, 256) as sha")).where("a < 5000")
+    cut, every = label_propagation.cut_edges(out, links)
+    without, _ = label_propagation.cut_edges(label_propagation.shard(df, rounds=0), links)
+    assert every == 600 and cut < 0.3 * without
+
+
+def test_equal_rows_are_parted(docs):
+    """Rows that are the same in all of the order still get numbers of their own."""
+    out = label_propagation.shard(docs([(7, "same")] * 500 + [(None, "none")] * 300), shards=3).collect()
+    assert sorted((r.shard, r.slot) for r in out) == [(k, j) for k, n in ((0, 267), (1, 267), (2, 266)) for j in range(n)]
+
+
 def test_no_documents(docs):
     assert label_propagation.shard(docs([])).count() == 0
     assert sorted(r.slot for r in label_propagation.shard(docs([(1, "a"), (1, "a")])).collect()) == [0, 0]
