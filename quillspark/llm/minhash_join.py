@@ -8,8 +8,10 @@
    threshold goes beyond it with a chance under MISS.
 3. In a bucket, signatures are compared in blocks. Pairs within t join their classes into candidate clusters; only a spanning
    forest leaves the task.
-4. In a cluster, blocks of whole texts meet. Sets are intersected exactly for all pairs not yet connected, and a
-   spanning forest of the confirmed links gives the components. No link between two different texts of a cluster is passed over.
+4. The forest's own pairs are confirmed on full sets first: as many comparisons as candidates. Confirmed pairs join documents to parts.
+5. A cluster of one part is done. In others only members of different parts can add a link: blocks of whole texts meet, but for
+   pairs of blocks of the largest part, and sets are intersected exactly for all pairs not yet connected. A spanning forest of
+   the confirmed links gives the components. No link between two different texts of a cluster is passed over.
 """
 
 from __future__ import annotations
@@ -154,13 +156,23 @@ def near_pairs(ids: np.ndarray, side: np.ndarray, s: np.ndarray, t: int, cross:
     return out
 
 
-def confirmed(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with 100 * intersection >= percent * union (of different sides only, if cross)."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union holds for two sets, as sorted arrays."""
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * 100 >= percent * (len(a) + len(b) - both)
+
+
+def confirmed(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with 100 * intersection >= percent * union (of different sides only, if cross; of different parts only, if given)."""
     n = np.array([len(x) for x in sets], np.int64)
     _, number = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(n) - n
     mark = np.zeros(int(number.max()) + 1, np.int32)
     forest, out = Forest(len(ids)), []
+    if parts is not None:
+        forest.label = np.unique(parts, return_inverse=True)[1]
     for a in range(len(ids) - 1):
         fits = (forest.label != forest.label[a]) & (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent)
         fits[: a + 1] = False
@@ -210,13 +222,17 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _in_units(rows: DataFrame, by: str, blocks: str, block: str) -> DataFrame:
-    """rows dealt to units (by, i, j): each pair of blocks of a group meets once; side says whether a row is of the first."""
+def _in_units(rows: DataFrame, by: str, blocks: str, block: str, inside: str | None = None) -> DataFrame:
+    """rows dealt to units (by, i, j): each pair of blocks of a group meets once; side says whether a row is of the first.
+
+    With inside, that column's rows have blocks from blocks on, which meet those below but not each other. Units are dealt by hash, so that one group's are spread.
+    """
     n, own = F.col(blocks), F.col(block)
-    out = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    others = F.sequence(F.lit(0), n - 1) if inside is None else F.when(F.col(inside), F.sequence(F.lit(0), n - 1)).otherwise(F.sequence(F.lit(0), 2 * n - 1))
+    out = rows.withColumn("_other", F.explode(others))
     out = out.select("*", F.least(own, F.col("_other")).alias("i"), F.greatest(own, F.col("_other")).alias("j")).drop("_other")
     out = out.withColumn("side", (own == F.col("i")).cast("int"))
-    return out.repartitionByRange(common.partitions(rows.sparkSession), by, "i", "j").sortWithinPartitions(by, "i", "j")
+    return out.repartition(common.partitions(rows.sparkSession), by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -227,8 +243,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal ids are one node; rows with null ids are compared with none and stay. Empty tables give none. A pair at the threshold
     is missed with a chance under MISS, one above it with less.
 
-    Hot groups: equal sets are merged by partial aggregation before anything else; large buckets and clusters are dealt to
-    pairs of blocks of bounded size over range partitions; joins leave hot keys to adaptive execution. All tables between
+    Hot groups: equal sets are merged by partial aggregation before anything else; large buckets, and clusters that their candidate
+    forest's confirmed pairs leave in parts, are dealt to pairs of blocks of bounded size by hash; joins leave hot keys to adaptive execution. All tables between
     the steps are written to the shared folder.
     """
     spark = df.sparkSession
@@ -280,28 +296,48 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = []
         yield _links(found)
 
-    candidates = _in_units(members, "key", "blocks", "block").mapInArrow(compared, "a long, b long")
+    candidates = common.persisted(_in_units(members, "key", "blocks", "block").mapInArrow(compared, "a long, b long").distinct(), "candidates")
     clusters = common.components(candidates, "a", "b")
     clusters = common.persisted(clusters.withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster").join(reps.select("rep", "n", "set_key"), "rep"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"))
+    # Always merge joins: candidates grow with the input, so they are not broadcast at any size. Of rows with equal ids those with another set are another row's.
+    own = clusters.select("rep", "set_key").join(source.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")
+
+    def whole(batches):
+        for b in batches:
+            sets = [shingles(x) for x in b.column("text").to_pylist()]
+            good = [len(s) > 0 and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, b.column("set_key").to_pylist(), strict=True)]
+            kept = [s.tobytes() for s, g in zip(sets, good, strict=True) if g]
+            yield pa.RecordBatch.from_arrays([b.column("rep").filter(pa.array(good, pa.bool_())), pa.array(kept, pa.binary())], ["rep", "set"])
+
+    sets = common.persisted(own.mapInArrow(whole, "rep long, set binary").dropDuplicates(["rep"]), "sets")
+
+    def checked(batches):
+        for b in batches:
+            held = [np.frombuffer(x, np.uint64) for x in b.column("set").to_pylist()], [np.frombuffer(x, np.uint64) for x in b.column("other").to_pylist()]
+            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(*held, strict=True)], pa.bool_()))
+
+    pairs = candidates.join(sets.withColumnRenamed("rep", "a").hint("merge"), "a").join(sets.toDF("b", "other").hint("merge"), "b")
+    first = common.persisted(pairs.select("a", "b", "set", "other").mapInArrow(checked, "a long, b long"), "confirmed")
+    parts = common.components(first, "a", "b")
+    placed = clusters.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", "n", F.coalesce("root", "rep").alias("part"))
+    placed = common.persisted(placed, "parts")
+    size = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"))
+    size = size.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("all").alias("all"), F.max(F.struct("c", "part"))["part"].alias("largest")).where("parts > 1")
     block = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(F.col("c") / BLOCKS)))
-    sizes = sizes.select(F.col("cluster").alias("of"), F.greatest(F.ceil(F.col("c") / block), F.least(F.col("c"), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    sizes = common.persisted(sizes, "sizes")  # as with least: a hot cluster can be split in the join
-    placed = clusters.join(sizes, F.col("cluster") == F.col("of")).select("cluster", "rep", "set_key", "blocks", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
-    # Always a merge join: candidates grow with the input, so they are not broadcast at any size.
-    placed = placed.join(source.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")
+    size = size.select(F.col("cluster").alias("of"), "largest", F.greatest(F.ceil(F.col("c") / block), F.least(F.col("c"), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    size = common.persisted(size, "sizes")  # as with least: a hot cluster can be split in the join
+    # The largest part's blocks come after the others', which are as many again: two of its blocks never meet.
+    inside = F.col("part") == F.col("largest")
+    placed = placed.join(size, F.col("cluster") == F.col("of")).select("cluster", "rep", "part", "blocks", inside.alias("inside"), (F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")) + F.when(inside, F.col("blocks")).otherwise(0)).cast("int").alias("block"))
+    placed = placed.join(sets.hint("merge"), "rep")
 
     def linked(batches):
         for (_, i, j), rows in _runs(batches, ("cluster", "i", "j")):
-            ids, own = rows.column("rep").to_pylist(), rows.column("set_key").to_pylist()
-            sets = [shingles(x) for x in rows.column("text").to_pylist()]
-            # Of rows with equal ids, those with another set are another row's.
-            good = [k for k, s in enumerate(sets) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == own[k]]
-            if len(good) > 1:
-                yield _links(confirmed([ids[k] for k in good], rows.column("side").to_numpy()[good], [sets[k] for k in good], percent, i != j))
-
-    links = _in_units(placed, "cluster", "blocks", "block").mapInArrow(linked, "a long, b long")
-    roots = common.components(links, "a", "b")
+            if rows.num_rows > 1:
+                yield _links(confirmed(rows.column("rep").to_pylist(), rows.column("side").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()], percent, i != j, rows.column("part").to_numpy()))
+
+    links = _in_units(placed, "cluster", "blocks", "block", "inside").mapInArrow(linked, "a long, b long")
+    roots = common.components(first.unionByName(links), "a", "b")
     out = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -59,6 +59,29 @@ def test_components(docs, family, percent, monkeypatch):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == brute(family, percent)
 
 
+def test_parts_of_clusters_meet(docs, monkeypatch):
+    """Candidates that aren't links hold several parts together; links between parts are found though the candidate forest has none of them."""
+    monkeypatch.setattr(minhash_join, "BLOCK_LEAST", 4)
+    monkeypatch.setattr(minhash_join, "MISS", 1e-12)
+    monkeypatch.setattr(minhash_join, "distance", lambda percent, miss=0: 60)
+    random.seed(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):  # a drift of versions: neighbours are alike, far ones only candidates
+        base = [f"v{k}x{j}" if random.random() < 0.012 else w for j, w in enumerate(base)]
+        rows.append((k * 7 % 150, " ".join(base)))
+    out = minhash_join.near_components(docs(rows), percent=85)
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == brute(rows, 85)
+
+
+def test_similar():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 30, rng.integers(1, 30)).astype(np.uint64)) for _ in range(2))
+        both, union = len(set(a.tolist()) & set(b.tolist())), len(set(a.tolist()) | set(b.tolist()))
+        assert all(minhash_join.similar(a, b, p) == (100 * both >= p * union) for p in (1, 50, 80, 100))
+
+
 def test_dedup_keeps_clean_documents(docs, family):
     kept = {r.doc_id for r in minhash_join.deduplicate(docs(family)).collect()}
     assert kept == {i for i, (_, _, k) in brute(family, 80).items() if k}
