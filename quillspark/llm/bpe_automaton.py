@@ -14,20 +14,24 @@ gives the arcs whose labels match the text, and those that the table allows lead
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common, pretokens
 
 VOCABULARY = "byte_bpe_50k.json"
 ALWAYS = np.int64(1) << 40
+#: Ids whose names or labels are joined at once.
+JOINED = 1 << 24
 
 
 class Table:
@@ -209,6 +213,27 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def gadgets(letters: list[bytes], merges: list[tuple[bytes, bytes]]) -> list[dict[bytes, int]]:
+    """The automaton written out: for each state its arcs, label to state; state 0 is the start and all states accept. For short lists of merges.
+
+    The gadget of a merge (u, v): where an arc u is followed by an arc v, u leads to a copy of its state without v, and an arc uv leads
+    where v led. Each state is copied once; copies have gadgets of their own. All refers to the arcs before the merge.
+    """
+    states: list[dict[bytes, int]] = [dict.fromkeys(letters, 0)]
+    for u, v in merges:
+        before: list[dict[bytes, int]] = [dict(x) for x in states]
+        copies: dict[int, int] = {}
+        for k, arcs in enumerate(before):  # copies are added on the way
+            middle = arcs.get(u)
+            if middle is not None and v in before[middle]:
+                if middle not in copies:
+                    copies[middle] = len(states)
+                    before.append({label: to for label, to in before[middle].items() if label != v})
+                    states.append(dict(before[-1]))
+                states[k] |= {u: copies[middle], u + v: before[middle][v]}
+    return states
+
+
 @functools.lru_cache(1)
 def automaton(path: str) -> Automaton:
     return Automaton(path)
@@ -222,34 +247,61 @@ def _library(path: str):
 
 
 class Coder:
-    """Chunks' ids as text and the bytes that their arcs emit, by one process's automaton."""
+    """Whole texts' ids by one process's automaton, and what their arcs emit."""
 
     def __init__(self, path: str):
         self.auto, self.library = automaton(path), _library(path)
-        self.names = [str(i) for i in range(len(self.auto.labels))]
-        self.name_size = np.array([len(x) + 1 for x in self.names], np.int64)
+        self.names = pa.array([str(i).encode() for i in range(len(self.auto.labels))], pa.binary())
+        self.labels = pa.array(self.auto.labels, pa.binary())
         ((special, number),) = self.auto.special.items()
-        self.chunks = pretokens.Chunks(self._encode, (",", b""), special, (str(number), special.encode()))
+        self.chunks = pretokens.Chunks(self._encode, special, number)
 
-    def _encode(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
-        words, which, cuts, order = pretokens.cut(texts, self.library)
+    def _words(self, words: list[str]) -> pretokens.Ids:
         ids, count = self.auto.encode_words([w.encode() for w in words])
-        every, end = pretokens.gathered(ids, count, which, cuts)
-        name_end = np.concatenate([[0], np.cumsum(self.name_size[every])])[end].tolist()
-        label_end = np.concatenate([[0], np.cumsum(self.auto.size[every])])[end].tolist()
-        listed = every.tolist()
-        names = ",".join(map(self.names.__getitem__, listed))
-        labels = b"".join(map(self.auto.labels.__getitem__, listed))
-        return pretokens.placed([names[a : b - 1] for a, b in zip(name_end, name_end[1:])], order), pretokens.placed([labels[a:b] for a, b in zip(label_end, label_end[1:])], order)
+        return ids.astype(np.uint32), count
+
+    def _encode(self, texts: list[str]) -> pretokens.Ids:
+        return pretokens.by_words(texts, self.library, self._words)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        for ids, text in self.chunks.joined(texts):
-            text = text.decode("utf-8", "replace")
-            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        """(how many ids, SHA-256 of them joined by commas, SHA-256 of the text decoded from them) of each text."""
+        for flat, at in self.chunks.batches(texts):
+            if len(flat) > JOINED:
+                yield from (self._digest(flat[a:z]) for a, z in zip(at, at[1:]))
+                continue
+            which, own = pa.array(flat), pa.array(at, pa.int32())
+            for n, ids, emitted in zip(np.diff(at).tolist(), self._joined(self.names, which, own, b","), self._joined(self.labels, which, own, b""), strict=True):
+                yield n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(emitted.decode("utf-8", "replace").encode()).hexdigest()
 
-    def ids(self, texts: list[str]) -> Iterator[list[int]]:
-        for ids, _ in self.chunks.joined(texts):
-            yield list(map(int, ids.split(","))) if ids else []
+    @staticmethod
+    def _joined(table: pa.Array, which: pa.Array, at: pa.Array, sep: bytes) -> list[bytes]:
+        return pc.binary_join(pa.ListArray.from_arrays(at, table.take(which)), sep).to_pylist()
+
+    def _digest(self, ids: np.ndarray) -> tuple[int, str, str]:
+        """A long text's, part by part."""
+        named, emitted, decoder = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for k in range(0, len(ids), JOINED):
+            which = pa.array(ids[k : k + JOINED])
+            one = pa.array([0, len(which)], pa.int32())
+            named.update((b"," if k else b"") + self._joined(self.names, which, one, b",")[0])
+            emitted.update(decoder.decode(self._joined(self.labels, which, one, b"")[0]).encode())
+        emitted.update(decoder.decode(b"", True).encode())
+        return len(ids), named.hexdigest(), emitted.hexdigest()
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[pa.Array, list[str]]]:
+        """(the texts' lists of ids, SHA-256 of the texts decoded from them), for runs of texts."""
+        for flat, at in self.chunks.batches(texts):
+            which, own = pa.array(flat.astype(np.int32)), pa.array(at, pa.int32())
+            if len(flat) > JOINED:
+                decoded = [self._digest(flat[a:z])[2] for a, z in zip(at, at[1:])]
+            else:
+                decoded = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in self._joined(self.labels, which, own, b"")]
+            yield pa.ListArray.from_arrays(own, which), decoded
+
+    def ids(self, texts: list[str]) -> Iterator[pa.Array]:
+        """Arrays of the texts' lists of ids, for runs of texts."""
+        for flat, at in self.chunks.batches(texts):
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
 
 
 @functools.lru_cache(1)
@@ -262,9 +314,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        for b in batches:
-            ids = pa.array(list(coder(path).ids(common.texts(b, text_col))), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), ids], [id_col, "ids"])
+        for b in pretokens.together(batches, text_col):
+            at = 0
+            for ids in coder(path).ids(common.texts(b, text_col)):
+                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(ids)), ids], [id_col, "ids"])
+                at += len(ids)
 
     common.prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -285,16 +339,35 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
+def coded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id_col, n_tokens, ids array<int>, decoded_sha256) for each row: its whole text's ids, and the digest of the text decoded from them.
+
+    Null and empty texts have no ids. Repeated rows and null ids are rows like any others, an empty table gives none. No shuffle.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def run(batches):
+        for b in pretokens.together(batches, text_col):
+            at = 0
+            for ids, decoded in coder(path).coded(common.texts(b, text_col)):
+                yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(ids)), pc.cast(pc.list_value_length(ids), pa.int64()), ids, pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids", "decoded_sha256"])
+                at += len(ids)
+
+    common.prepare(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) for each row: ids joined by commas, and the text decoded from them.
 
-    Null and empty texts have no tokens and the digests of ''. Repeated rows give repeated rows, an empty table none.
-    No shuffle: each task encodes its own rows in bounded batches.
+    Null and empty texts have no tokens and the digests of ''. Texts of any length are whole; repeated rows and null ids are rows like
+    any others, an empty table gives none. No shuffle: each task encodes its own rows in bounded batches.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        for b in batches:
+        for b in pretokens.together(batches, text_col):
             n, ids, text = zip(*coder(path).digests(common.texts(b, text_col)), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
