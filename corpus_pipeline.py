@@ -9,30 +9,49 @@ from quillspark.llm import bpe_automaton, common, exact_dedup, language_id, minh
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the model knows (all, if none is labelled); null texts and those without a letter go."""
+    """Documents that the model finds to be of a language it has learnt, by its evidence; the others go.
+
+    Null and empty texts and those without a letter go. Where nothing is labelled all others stay. Repeated rows and null ids are judged like any
+    others, long texts as wholes; an empty table stays empty.
+    """
     return language_id.known(docs, language_id.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest stays."""
+    """Of texts that are equal without white space the longest stays, of those the smallest id.
+
+    Null and empty texts are equal. Repeated rows of the staying id all stay, a null id comes last. Texts are compared whole; an empty table stays empty.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, 0.8 or more) the smallest id stays."""
+    """Of each component of near-duplicates (five words, 0.8 or more) the smallest id stays.
+
+    Texts without words, null ones too, are alike with none and stay; so do rows with null ids. Repeated rows of the staying id all stay.
+    Sets are of whole texts; an empty table stays empty.
+    """
     return minhash_join.deduplicate(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it, in rows of its own; the one at the cut is taken whole."""
+    """Each document as often as its source's budget takes it, in rows of its own; the one at the cut is taken whole.
+
+    Null and empty texts have no words: they are taken once. A null source is a source. Rows of one id, null too, are taken as often as the most taken one of them;
+    an empty table stays empty.
+    """
     plan = mixing.copies(mixing.mix(docs)).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where("_mix_copies > 0")
     out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).drop("_mix_copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's token count, and the digests of its ids and of the text decoded from them."""
-    return bpe_automaton.round_trip(docs)
+    """Each row's token ids, how many they are, and the digest of the text decoded from them.
+
+    Null and empty texts have no ids. Repeated rows, copies of the mix among them, and null ids are rows like any others; texts are encoded whole; an
+    empty table gives none.
+    """
+    return bpe_automaton.coded(docs)
 
 
 STAGES = [("language ID", languages), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixed), ("BPE coding", tokens)]
