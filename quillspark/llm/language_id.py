@@ -6,13 +6,14 @@ import functools
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, pretokens
 from .bpe_automaton import Table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -24,6 +25,8 @@ ROUNDS, SMOOTHING = 4, 0.02
 UNIT_CHARS = 32
 #: Words that a process remembers; then it starts anew.
 CACHE = 300_000
+#: Bytes of texts that are looked up together, about.
+TOGETHER = 3_000_000
 UNDETERMINED = "und"
 #: A text has no known language when its evidence is below this: each character is so much likelier (as a log) where all pieces are equally likely.
 LEAST_EVIDENCE = -0.5
@@ -198,34 +201,36 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """(language, its posterior, evidence) of each text; evidence is how much likelier the text is in that language than in none, as a log for each character."""
-        words = [t.split() if t and LETTER.search(t) and self.languages else None for t in texts]
+        at = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        found, score, evidence = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        if not at:
+            return found, score, evidence
+        # A batch's distinct words are looked up once; '' stands beside outer white space and says nothing.
+        pieces = pc.utf8_split_whitespace(pa.array([texts[k] for k in at], pa.large_string()))
+        words = pieces.flatten().dictionary_encode()
+        which = self._rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        begin = pieces.offsets.to_numpy()[:-1]
+        *of, none = (np.add.reduceat(column[which], begin) for column in self.table.T)
+        total = np.stack(of, axis=1) + self.prior
+        best = total.argmax(1)
+        top = total[np.arange(len(at)), best]
+        posterior = 1 / np.exp(total - top[:, None]).sum(1)
+        for j, k in enumerate(at):
+            found[k], score[k], evidence[k] = self.languages[best[j]], float(posterior[j]), float(of[best[j]][j] - none[j]) / len(texts[k])
+        return found, score, evidence
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows in the table of log probabilities; new ones are scored."""
         if not hasattr(self, "known") or len(self.known) > CACHE:
-            self.known, self.table = {}, np.zeros((0, len(self.languages) + 1))
-        need: set[str] = set()
-        for w in words:
-            need.update(w or ())
-        new = list(need.difference(self.known))
+            self.known, self.table = {"": 0}, np.zeros((1, len(self.languages) + 1))
+        new = [w for w in words if w not in self.known]
         if new:
             units = lattice(self.path).units(new)
             own = lattice(self.path).scores([u for x in units for u in x], self.p)
             begin = np.cumsum([0] + [len(x) for x in units[:-1]])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.table = np.concatenate([self.table, np.add.reduceat(own, begin)])
-        found: list[str] = []
-        score, evidence = [], []
-        for w, t in zip(words, texts, strict=True):
-            if w is None:
-                found.append(UNDETERMINED)
-                score.append(0.0)
-                evidence.append(0.0)
-                continue
-            *of, none = self.table[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0)
-            total = of + self.prior
-            best = int(total.argmax())
-            found.append(self.languages[best])
-            score.append(float(1 / np.exp(total - total[best]).sum()))
-            evidence.append(float(of[best] - none) / len(t))
-        return found, score, evidence
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 def held_out(id_col: str) -> Column:
@@ -275,7 +280,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     def run(batches):
         own = shared.value  # one object for each process: its memory of words lasts
-        for b in batches:
+        for b in pretokens.together(batches, text_col, TOGETHER):
             lang, score, evidence = own.predict(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64())], [*keep, "lang_pred", "score", "evidence"])
 
@@ -291,7 +296,7 @@ def known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in pretokens.together(batches, at, TOGETHER):
             texts = b.column(at).to_pylist()
             if own.languages:
                 found, _, evidence = own.predict(texts)
