@@ -5,6 +5,10 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import re
+import signal
+import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,17 @@ from .sources.base import Fetcher, fetched
 from .sources.wordpress import BASE, CLASSES, WordPress
 
 SOURCES = {"wordpress": WordPress}
+#: Seconds between two lines on a crawl's progress.
+PROGRESS_S = 30
+
+
+def seconds(text: str) -> float:
+    """A duration: a number of seconds, or numbers with units, as in "1m30s", "500ms" or "2h"."""
+    units = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
+    found = re.findall(r"([0-9]+(?:\.[0-9]+)?)(ms|s|m|h)", text)
+    if found and "".join(map("".join, found)) == text:
+        return sum(float(n) * units[u] for n, u in found)
+    return float(text)
 
 
 def setting(name: str, default, kind=str):
@@ -56,6 +71,38 @@ def listed(spark: SparkSession, source, args) -> DataFrame:
     return crawl.discovered(listing.where("error is null"), source)
 
 
+class Ticker:
+    """Calls say() every so many seconds, in a thread of its own, while its block runs."""
+
+    def __init__(self, say: Callable[[], None], every: float = PROGRESS_S):
+        self.say, self.every, self.stop = say, every, threading.Event()
+
+    def _run(self) -> None:
+        while not self.stop.wait(self.every):
+            try:
+                self.say()
+            except Exception:  # a report that fails must not end a crawl
+                logging.exception("progress")
+
+    def __enter__(self) -> Ticker:
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stop.set()
+        self.thread.join()
+
+
+def progress_line(engine: Engine, library_id: str) -> str:
+    """How far a library's last session is."""
+    last = engine.store.read("sessions").where(F.col("library_id") == library_id).orderBy(F.col("id").desc()).first()
+    if last is None:
+        return "no session"
+    stats = tables.crawl_stats(engine.store.read("progress").where(F.col("session_id") == last.id)).first()
+    return f"session {last.id}: {stats.success if stats else 0} done, {stats.failed if stats else 0} failed, {last.total_urls} entities listed"
+
+
 def run_crawl(engine: Engine, args) -> int:
     source, session, again = SOURCES[args.source](), None, None
     last = engine.store.read("sessions").where(F.col("library_id") == source.id).orderBy(F.col("id").desc()).first()
@@ -69,7 +116,8 @@ def run_crawl(engine: Engine, args) -> int:
         found, again = tables.remaining(listed(engine.spark, source, args), progress), methods(tables.failures(progress))
     else:
         found = listed(engine.spark, source, args)
-    session = engine.crawl(source, found, lambda urls: fetched(urls, Fetcher, args.workers, args.rps).cache(), session, again)
+    with Ticker(lambda: logging.info("%s", progress_line(engine, source.id)), setting("PROGRESS_INTERVAL", PROGRESS_S, seconds)):
+        session = engine.crawl(source, found, lambda urls: fetched(urls, Fetcher, args.workers, args.rps).cache(), session, again)
     print(crawl.summary(engine.store.read("progress"), session))
     return 0
 
@@ -81,11 +129,12 @@ def main(argv: list[str] | None = None) -> int:
     engine = Engine(spark, args.store)
     if args.command == "crawl":
         return run_crawl(engine, args)
+    signal.signal(signal.SIGTERM, signal.default_int_handler)
     web = server.serve(engine, port=setting("PORT", args.port, int), origin=setting("CORS_ORIGIN", "*"))
     try:
         web.serve_forever()
     except KeyboardInterrupt:
-        web.server_close()
+        web.drain()
     return 0
 
 

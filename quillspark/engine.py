@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
@@ -14,8 +15,11 @@ from . import schema
 from .operators import crawl, search, snippets, tables
 from .plans import phrases as plan
 from .sources.base import pages_fetch
+from .streaming.ingest import Refresher
 
 RESOLVED = 5
+#: Search results that an engine keeps in memory.
+KEPT = 8
 
 
 class NotFound(Exception):
@@ -35,8 +39,9 @@ class DocResult:
 class Store:
     """Tables as folders below root. A table's folder holds versions; a pointer file, replaced as a whole, names the current one.
 
-    Readers keep the version they began with; writers are one at a time, as with any single-writer store. File access goes
-    through Hadoop's file systems, so root may be any of their URIs.
+    A table may be in parts (one for each library, say), each with versions and a pointer of its own, so that one is written without the others.
+    Readers keep the version they began with: the current one and the one before stay, older ones are deleted. Writers are one at a
+    time, as with any single-writer store. File access goes through Hadoop's file systems, so root may be any of their URIs.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -71,16 +76,26 @@ class Store:
         finally:
             stream.close()
 
+    def _pointers(self, name: str) -> list[str]:
+        """The pointer files of a table's parts, or of itself."""
+        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)) if f.isFile()]
+        return sorted(f for f in found if f.endswith(".current") and f.split("@")[0].removesuffix(".current") == name)
+
     def read(self, name: str) -> DataFrame:
-        version = self._get(f"{name}.current")
-        if version is None:
+        """A table, all its parts; empty if it was never written."""
+        pointers = self._pointers(name)
+        if not pointers:
             return self.spark.createDataFrame([], schema.TABLES.get(name) or getattr(schema, name.upper()))
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.parquet(*(f"{self.root}/{p.removesuffix('.current')}/{self._get(p)}" for p in pointers))
 
-    def write(self, name: str, df: DataFrame, by: str | None = None) -> None:
+    def write(self, name: str, df: DataFrame, part: str | None = None) -> None:
+        """A new version of a table or, with part, of that part alone."""
+        folder = name if part is None else f"{name}@{hashlib.sha256(part.encode()).hexdigest()[:24]}"
         version = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.root}/{name}/{version}")
-        self._put(f"{name}.current", version)
+        df.write.parquet(f"{self.root}/{folder}/{version}")
+        self._put(f"{folder}.current", version)
+        for old in sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")))[:-2]:
+            self._fs.delete(self._path(f"{self.root}/{folder}/{old}"), True)
 
     def upsert(self, name: str, new: DataFrame, order: str = "updated_at", keep_first: tuple[str, ...] = ()) -> None:
         self.write(name, tables.upsert(self.read(name), new, schema.KEYS[name], order, keep_first))
@@ -91,10 +106,21 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, token_budget: int = snippets.BUDGET):
         self.spark, self.budget, self.store = spark, token_budget, Store(spark, root)
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """df, kept in memory until close(); of earlier ones the last few stay."""
+        self._kept.append(df.cache())
+        for old in self._kept[:-KEPT]:
+            old.unpersist()
+        self._kept = self._kept[-KEPT:]
+        return df
 
     def close(self) -> None:
-        """The store stays; cached tables of this session go."""
-        self.spark.catalog.clearCache()
+        """The store stays; what this engine keeps in memory goes."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept = []
 
     # Libraries
 
@@ -106,6 +132,13 @@ class Engine:
         new = new.select("*", F.lit(0).alias("snippet_count"), now.alias("crawled_at"), now.alias("created_at"), now.alias("updated_at"))
         self.store.upsert("libraries", new, keep_first=("snippet_count", "created_at"))
 
+    def update_snippet_count(self, library_id: str) -> None:
+        """A library's stored count: its entities and methods."""
+        mine = F.col("id") == library_id
+        found = tables.snippet_counts(self.store.read("entities").where(F.col("library_id") == library_id), self.store.read("methods")).first()
+        count = F.lit(found.snippets if found else 0).cast("int")
+        self.store.write("libraries", self.store.read("libraries").withColumn("snippet_count", F.when(mine, count).otherwise(F.col("snippet_count"))))
+
     def libraries(self) -> DataFrame:
         """All libraries by name, their counts filled in."""
         counts = tables.snippet_counts(self.store.read("entities"), self.store.read("methods"))
@@ -125,22 +158,29 @@ class Engine:
 
     # Search
 
+    def entity(self, library_id: str, slug: str) -> DataFrame:
+        """A library's entity by slug: one row, or none."""
+        return self.store.read("entities").where((F.col("library_id") == library_id) & (F.col("slug") == slug))
+
+    def method(self, entity_id: int, slug: str) -> DataFrame:
+        """An entity's method by slug: one row, or none."""
+        return self.store.read("methods").where((F.col("entity_id") == entity_id) & (F.col("slug") == slug))
+
     def rebuild_index(self, library_id: str | None = None) -> None:
-        """The index anew: of one library, the others' postings being kept, or of all. Postings, documents, their lengths and the statistics are written."""
-        entities = self.store.read("entities")
-        if library_id is not None:
-            entities = entities.where(F.col("library_id") == library_id)
+        """The index anew: of one library, whose parts alone are written, or of each. Tokens are made once; postings, documents, their lengths and the statistics are written."""
+        if library_id is None:
+            for r in self.store.read("libraries").select("id").toLocalIterator():  # as many as sources that were crawled
+                self.rebuild_index(r["id"])
+            return
+        entities = self.store.read("entities").where(F.col("library_id") == library_id)
         docs = search.index_documents(entities, self.store.read("methods").join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"))
-        post, lengths = search.postings(docs), search.document_lengths(docs, keep=("library_id",))
-        if library_id is not None:
-            other = F.col("library_id") != library_id
-            docs = self.store.read("search_docs").where(other).unionByName(docs)
-            post = self.store.read("postings").where(other).unionByName(post)
-            lengths = self.store.read("doc_lengths").where(other).unionByName(lengths)
-        # Sorted by term within files, so that a query's terms prune row groups.
-        self.store.write("postings", post.repartitionByRange("term").sortWithinPartitions("term", "row_id"))
-        self.store.write("search_docs", docs)
-        self.store.write("doc_lengths", lengths)
+        self.store.write("search_docs", docs, library_id)
+        docs = self.store.read("search_docs").where(F.col("library_id") == library_id)
+        self.store.write("search_tokens", search.tokenised(docs), library_id)
+        tokens = self.store.read("search_tokens").where(F.col("library_id") == library_id)
+        # Sorted by term within files, so that a query's terms prune row groups; by row too, so that a common term is in many files.
+        self.store.write("postings", search.postings(tokens).repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id"), library_id)
+        self.store.write("doc_lengths", search.document_lengths(tokens, ("library_id",)), library_id)
         self.store.write("search_stats", search.corpus_stats(self.store.read("doc_lengths")))
 
     def search(self, library_id: str, query: str, mode: str = "all", k: int = search.TOP) -> DataFrame:
@@ -166,7 +206,8 @@ class Engine:
         """Snippets for a query and their text within the budget; NotFound for an unknown library."""
         if self.store.read("libraries").where(F.col("id") == library_id).isEmpty():
             raise NotFound(f'library "{library_id}" not found')
-        found = self.snippets(self.search(library_id, query, mode)).orderBy("rank", "row_id").cache()  # at most TOP rows
+        found = self.snippets(self.search(library_id, query, mode)).orderBy("rank", "row_id")
+        found = self._keep(found)  # at most TOP rows
         c = F.col
         block = snippets.markdown(c("entity_name"), c("method_name"), c("signature"), c("description"), c("parameters"), c("return_type"), c("return_desc"), c("source_code"), c("wrapped_method"), c("wrapped_source"), c("url"))
         row = snippets.joined(snippets.within_budget(found.withColumn("block", block), budget=self.budget)).first()
@@ -202,6 +243,7 @@ class Engine:
             raise
         self._end(session, "completed")
         self.rebuild_index(source.id)
+        self.update_snippet_count(source.id)
         return session
 
     def _end(self, session: int, status: str) -> None:
@@ -222,7 +264,9 @@ class Engine:
         good = parsed.where("error is null")
         entities = good.select(key(F.col("slug")).alias("id"), F.lit(lib).alias("library_id"), "slug", "name", "kind", "description", "source_file", "source_code", "url", now.alias("created_at"), now.alias("updated_at"))
         self.store.upsert("entities", entities, keep_first=("id", "created_at"))
-        properties = good.select(key(F.col("slug")).alias("entity_id"), F.explode("properties").alias("p")).select("entity_id", "p.name", "p.description").dropDuplicates(["entity_id", "name"])
+        properties = good.select(key(F.col("slug")).alias("entity_id"), F.posexplode("properties").alias("at", "p"))
+        # Of equal names the last one stays.
+        properties = properties.groupBy("entity_id", F.col("p.name").alias("name")).agg(F.max_by("p.description", "at").alias("description"))
         properties = properties.select(hashed("entity_id", "name").alias("id"), "entity_id", "name", F.lit("").alias("type"), "description", F.lit("public").alias("visibility"), F.lit("").alias("since"))
         self.store.write("properties", tables.replace_children(self.store.read("properties"), properties, "entity_id"))
         owners = good.select(F.col("slug").alias("entity_slug"), F.explode("method_urls").alias("url"))
@@ -236,14 +280,18 @@ class Engine:
             self.store.upsert("progress", rows, "processed_at", ("id", "item_type", "parent_entity"))
 
         note(crawl.progress_rows(parsed, session, "entity").unionByName(waiting))
+        # Once there are enough of them, classes can be searched for while methods are fetched.
+        Refresher(lambda: self.rebuild_index(lib)).add(self.store.read("progress").where((F.col("session_id") == session) & (F.col("status") == "success")).count())
         pages = fetch(owners)
         methods = crawl.parse_methods(pages, source)
         owned = methods.where("error is null").join(owners, "url")
         full = crawl.resolved(owned, crawl.with_targets(owned, pages, fetch, source), source)
         rows = full.select(hashed("entity_id", "slug").alias("id"), "entity_id", "slug", "name", "signature", "description", "parameters", "return_type", "return_desc", "source_code", "wrapped_source", "wrapped_method", "url", "since", now.alias("created_at"), now.alias("updated_at"))
-        rows, _ = tables.with_parents(rows, self.store.read("entities"), "entity_id", "id")
+        rows, orphans = tables.with_parents(rows, self.store.read("entities"), "entity_id", "id")
+        orphans = orphans.select("url", F.lit("FOREIGN KEY constraint failed").alias("_broken"))
         self.store.upsert("methods", rows.select(*schema.names(schema.METHODS)), keep_first=("id", "created_at"))
         relations = owned.select(hashed("entity_id", "slug").alias("method_id"), F.explode("relations").alias("r")).select("method_id", "r.*")
         relations = relations.select(hashed("method_id", "kind", "target_name", "target_url").alias("id"), "method_id", "kind", "target_name", "target_url", "description")
         self.store.write("relations", tables.replace_children(self.store.read("relations"), relations, "method_id"))
-        note(crawl.progress_rows(methods.join(owners.select("url", "entity_slug"), "url"), session, "method", "entity_slug"))
+        done = methods.join(owners.select("url", "entity_slug"), "url").join(orphans, "url", "left").withColumn("error", F.coalesce("error", "_broken"))
+        note(crawl.progress_rows(done, session, "method", "entity_slug"))

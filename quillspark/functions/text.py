@@ -70,7 +70,6 @@ def _longest(word: str, rules: list[tuple[str, str]]) -> tuple[str, str] | None:
     return max((r for r in rules if word.endswith(r[0])), key=lambda r: len(r[0]), default=None)
 
 
-@functools.lru_cache(200_000)
 def porter(word: str) -> str:
     """The stem of an ASCII word of 3 to 64 bytes; anything else is its own stem."""
     size = len(word.encode())
@@ -129,12 +128,31 @@ def fold(c: str) -> str:
     return low
 
 
+class _Folds(dict):
+    """For str.translate(): what the index makes of each character, found when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        folded = fold(chr(code))
+        self[code] = out = " " if folded == "" else "" if folded == "\0" else folded
+        return out
+
+
+class _Stems(dict):
+    """Stems by word; starts anew after so many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = porter(word)
+        return out
+
+
+_FOLDS, _STEMS = _Folds(), _Stems()
+
+
 def fts_tokens(text: str | None) -> list[str]:
     """Stems of the runs of letters, numbers and private characters."""
-    if not text:
-        return []
-    folded = "".join(fold(c) or " " for c in text).replace("\0", "")
-    return [porter(w) for w in folded.split(" ") if w]
+    return list(map(_STEMS.__getitem__, text.translate(_FOLDS).split())) if text else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

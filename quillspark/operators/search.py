@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,17 +31,20 @@ def index_documents(entities: DataFrame, methods: DataFrame) -> DataFrame:
     return e.unionByName(m.join(owner, "entity_id").withColumn("snippet_type", F.lit("method")))
 
 
-def postings(docs: DataFrame, columns: Sequence[str] = COLUMNS, tokens: Callable[[Column], Column] = text.fts_tokens_udf, keep: Sequence[str] = ("library_id",)) -> DataFrame:
-    """(keep..., row_id, col, pos, term): one row for each token of each column. A map and an explode, no shuffle."""
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("col"), F.coalesce(F.col(c), F.lit("")).alias("cell")) for k, c in enumerate(columns))))
-    flat = docs.select(*keep, "row_id", cells.alias("x")).select(*keep, "row_id", "x.col", tokens(F.col("x.cell")).alias("tokens"))
-    return flat.select(*keep, "row_id", "col", F.posexplode("tokens").alias("pos", "term"))
+def tokenised(docs: DataFrame, columns: Sequence[str] = COLUMNS, tokens: Callable[[Column], Column] = text.fts_tokens_udf, keep: Sequence[str] = ("library_id",)) -> DataFrame:
+    """(keep..., row_id, tokens): an array of each column's tokens, in the order of columns. What postings and lengths are made of, once it is kept."""
+    return docs.select(*keep, "row_id", F.array(*(tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns)).alias("tokens"))
 
 
-def document_lengths(docs: DataFrame, columns: Sequence[str] = COLUMNS, tokens: Callable[[Column], Column] = text.fts_tokens_udf, keep: Sequence[str] = ()) -> DataFrame:
+def postings(tokenised: DataFrame, keep: Sequence[str] = ("library_id",)) -> DataFrame:
+    """(keep..., row_id, col, pos, term): one row for each token of each column. A map and two explodes, no shuffle."""
+    flat = tokenised.select(*keep, "row_id", F.posexplode("tokens").alias("col", "cell"))
+    return flat.select(*keep, "row_id", "col", F.posexplode("cell").alias("pos", "term"))
+
+
+def document_lengths(tokenised: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., row_id, dl): tokens over all columns, 0 for rows without any. Arrays' sizes, so no shuffle."""
-    sizes = [F.size(tokens(F.coalesce(F.col(c), F.lit("")))).cast("long") for c in columns]
-    return docs.select(*keep, "row_id", functools.reduce(operator.add, sizes).alias("dl"))
+    return tokenised.select(*keep, "row_id", F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

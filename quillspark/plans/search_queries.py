@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ def _one_column(docs: DataFrame, of: str, column: str, extra: tuple[str, ...] =
 
 
 def _ranked(docs: DataFrame, columns: tuple[str, ...], words: str, mode: str, weights: tuple[float, ...], tokens: Callable = text.plain_tokens, of_query: Callable = plain) -> DataFrame:
-    post = search.postings(docs, columns, tokens, ())
-    return search.bm25(post, search.document_lengths(docs, columns, tokens), plan.phrases(words, of_query), mode, weights)
+    # Postings and lengths share the tokens, which are made once.
+    kept = search.tokenised(docs, columns, tokens, ()).persist(StorageLevel.MEMORY_AND_DISK)
+    return search.bm25(search.postings(kept, ()), search.document_lengths(kept), plan.phrases(words, of_query), mode, weights)
 
 
 def _documents(spark, sf_dir: str, words: str, mode: str, **more) -> DataFrame:
@@ -122,7 +124,7 @@ select doc_id, (pos - 1)::int as pos, term from (select doc_id, unnest(list_filt
 """.replace("conversations_text", "(select conv_id * 1000 + turn as doc_id, text from conversations)"))
 def index_rebuild_postings(spark, sf_dir):
     docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
-    return search.postings(docs, ("text",), text.plain_tokens, ()).select(F.col("row_id").alias("doc_id"), "pos", "term")
+    return search.postings(search.tokenised(docs, ("text",), text.plain_tokens, ()), ()).select(F.col("row_id").alias("doc_id"), "pos", "term")
 
 
 @query(rf"""
@@ -130,7 +132,7 @@ select term, count(distinct doc_id) as df_n from (select doc_id, unnest(list_fil
 """)
 def term_doc_freq(spark, sf_dir):
     docs = _one_column(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.term_frequencies(search.postings(docs, ("text",), text.plain_tokens, ()))
+    return search.term_frequencies(search.postings(search.tokenised(docs, ("text",), text.plain_tokens, ()), ()))
 
 
 @query(rf"""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +10,10 @@ from ..operators import tables
 from .registry import query, table
 
 
+#: Files, and so micro-batches, of the stream.
+STREAM_FILES = 4
+
+
 def _libraries(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     # Sums before the join would lose rows without labels; labels has one row for each document at most.
@@ -242,23 +243,19 @@ def wrapper_chain(spark, sf_dir):
 
 @query("select user_id as session_id, 'u' || (event_id % 50) as url, arg_max(event_type, event_id) as status, max(event_id) as event_id from events group by 1, 2")
 def stream_incremental_ingest(spark, sf_dir):
-    """Events as a stream, upserted by micro-batches into a table in the shared folder."""
-    from ..streaming.ingest import upsert_stream
+    """Events as a stream of several files, upserted by micro-batches into a table in the shared folder."""
+    from ..streaming.ingest import Versions, shared_folder, upsert_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    at: list[str] = []
+    root = shared_folder(spark, "stream")
+    versions = Versions(spark, f"{root}/table")
+    table(spark, sf_dir, "events").repartitionByRange(STREAM_FILES, "event_id").write.parquet(f"{root}/source")
 
     def apply(batch: DataFrame, number: int) -> None:
-        # Named by the batch's number: a batch that is done again writes the same folder.
         new = batch.select(F.col("user_id").alias("session_id"), F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("url"), F.col("event_type").alias("status"), "event_id")
-        old = batch.sparkSession.read.parquet(at[-1]) if at else new.limit(0)
-        path = f"{root}/batch-{number}"
-        tables.upsert(old, new, ["session_id", "url"], "event_id").write.mode("overwrite").parquet(path)
-        at.append(path)
-
-    source = table(spark, sf_dir, "events")
-    # The table is one file or a folder of files: without a search for partitions either will do.
-    stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
+        old = versions.before(number)
+        versions.write(number, tables.upsert(new.limit(0) if old is None else old, new, ["session_id", "url"], "event_id"))
+
+    source = spark.read.parquet(f"{root}/source")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
     upsert_stream(stream, apply, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(at[-1])
+    return versions.last()

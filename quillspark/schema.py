@@ -23,6 +23,7 @@ METHODS = f"id long, entity_id long, slug string, name string, signature string,
 RELATIONS = "id long, method_id long, kind string, target_name string, target_url string, description string"
 #: One row for each indexed class or method; method_id is null for a class.
 SEARCH_DOCS = "row_id long, library_id string, entity_name string, method_name string, content string, entity_id long, method_id long, snippet_type string"
+SEARCH_TOKENS = "library_id string, row_id long, tokens array<array<string>>"
 POSTINGS = "library_id string, row_id long, col int, pos int, term string"
 DOC_LENGTHS = "library_id string, row_id long, dl long"
 #: One row: the index's documents and their mean length.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -11,9 +12,14 @@ from .engine import Engine, NotFound
 
 log = logging.getLogger(__name__)
 NAME_BYTES, QUERY_BYTES = 200, 500
+#: Seconds for reading a request, for writing an answer, between two requests of a connection, and for requests under way when the server stops.
+READ_S, WRITE_S, IDLE_S, DRAIN_S = 15, 30, 60, 10
 HEADERS = {"X-Content-Type-Options": "nosniff", "X-Frame-Options": "DENY"}
 
 
+# The texts of errors and of an empty result are fixed values of the API.
+
+
 class BadRequest(Exception):
     pass
 
@@ -81,14 +87,36 @@ def _error(status: int, message: str) -> tuple[int, str, str]:
     return _json(status, {"error": message})
 
 
-def serve(engine: Engine, host: str = "", port: int = 8080, origin: str = "*") -> ThreadingHTTPServer:
+class Server(ThreadingHTTPServer):
+    """Answers each connection in a thread of its own, and counts the requests under way."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.under_way, self.changed = 0, threading.Condition()
+
+    def count(self, by: int) -> None:
+        with self.changed:
+            self.under_way += by
+            self.changed.notify_all()
+
+    def drain(self, seconds: float = DRAIN_S) -> bool:
+        """Stop listening and let requests under way end, for so long at most; whether all did."""
+        self.shutdown()
+        with self.changed:
+            done = self.changed.wait_for(lambda: not self.under_way, seconds)
+        self.server_close()
+        return done
+
+
+def serve(engine: Engine, host: str = "", port: int = 8080, origin: str = "*") -> Server:
     """A server, not yet started: call serve_forever()."""
 
     class Handler(BaseHTTPRequestHandler):
-        timeout = 15
+        protocol_version, timeout = "HTTP/1.1", READ_S
 
         def _send(self, status: int, kind: str | None = None, body: str = "") -> None:
             data = body.encode()
+            self.connection.settimeout(WRITE_S)
             self.send_response(status)
             for k, v in (HEADERS | {"Access-Control-Allow-Origin": origin, "Access-Control-Allow-Methods": "GET, OPTIONS", "Access-Control-Allow-Headers": "Content-Type"}).items():
                 self.send_header(k, v)
@@ -97,15 +125,21 @@ def serve(engine: Engine, host: str = "", port: int = 8080, origin: str = "*") -
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
+            self.wfile.flush()
+            self.connection.settimeout(IDLE_S)
 
         def do_OPTIONS(self):
             self._send(204)
 
         def do_GET(self):
-            at = urlsplit(self.path)
-            self._send(*respond(engine, at.path, {k: v[0] for k, v in parse_qs(at.query, keep_blank_values=True).items()}))
+            self.server.count(1)
+            try:
+                at = urlsplit(self.path)
+                self._send(*respond(engine, at.path, {k: v[0] for k, v in parse_qs(at.query, keep_blank_values=True).items()}))
+            finally:
+                self.server.count(-1)
 
         def log_message(self, form, *args):
             log.info(form, *args)
 
-    return ThreadingHTTPServer((host, port), Handler)
+    return Server((host, port), Handler)

@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -12,7 +13,7 @@ from quillspark import cli, server
 from quillspark.engine import Engine, NotFound
 from quillspark.operators import tables
 from quillspark.sources.wordpress import BASE, CLASSES, WordPress
-from quillspark.streaming.ingest import Refresher, upsert_stream
+from quillspark.streaming.ingest import Refresher, Versions, upsert_stream
 from tests.test_sources import CLASS, METHOD
 
 
@@ -126,7 +127,7 @@ def test_search(engine):
     assert result.text.startswith("# WP_Query::query()\n\n**Signature:** `WP_Query::query( string $q ): array`\n\n## Description\n\nRuns it.\n\n## Parameters\n\n- `$q` (string, required): The query.\n")
     assert engine.query_docs("/wordpress/classes", "$$$ absent").text == ""
     row = engine.resolve("WordPress", "class").first()
-    assert (row.id, row.snippet_count, row.score) == ("/wordpress/classes", 2, 109.0)
+    assert (row.id, row.snippet_count, row.score) == ("/wordpress/classes", 2, 109.02)
     assert engine.entities("/wordpress/classes").first().method_count == 1
 
 
@@ -164,7 +165,65 @@ def test_service(engine):
         web.shutdown()
 
 
+def test_draining_waits_for_requests(engine, monkeypatch):
+    web = server.serve(engine, "127.0.0.1", 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    begun, told = threading.Event(), []
+
+    def slow(*_):
+        begun.set()
+        time.sleep(0.5)
+        return 200, "text/plain", "late"
+
+    monkeypatch.setattr(server, "respond", slow)
+    ask = threading.Thread(target=lambda: told.append(urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/health").read()))
+    ask.start()
+    begun.wait(5)
+    assert web.drain(5)
+    ask.join(5)
+    assert told == [b"late"]
+
+
+def test_ticker_reports(engine):
+    said = []
+    with cli.Ticker(lambda: said.append(cli.progress_line(engine, "/wordpress/classes")), 0.05):
+        time.sleep(3)
+    assert said and said[0].startswith("session 2: 2 done, 1 failed")
+
+
+def test_lookups_and_counts(engine):
+    row = engine.entity("/wordpress/classes", "wp_query").first()
+    assert row.name == "WP_Query" and engine.method(row.id, "query").first().name == "query"
+    assert engine.entity("/other", "wp_query").isEmpty() and engine.method(row.id, "none").isEmpty()
+    assert engine.store.read("libraries").first().snippet_count == 2
+
+
+def test_parts_of_a_table_are_written_alone(spark, tmp_path):
+    store = Engine(spark, f"file://{tmp_path}/s").store
+    rows = lambda lib, n: spark.range(n).selectExpr(f"'{lib}' as library_id", "id as row_id", "id as dl")
+    for k in range(4):
+        store.write("doc_lengths", rows("a", k + 1), "a")
+    store.write("doc_lengths", rows("b", 2), "b")
+    assert sorted((r.library_id, r.row_id) for r in store.read("doc_lengths").collect()) == [("a", k) for k in range(4)] + [("b", 0), ("b", 1)]
+    parts = [p for p in (tmp_path / "s").iterdir() if p.is_dir()]
+    assert sorted(len(list(p.iterdir())) for p in parts) == [1, 2]
+
+
+def test_stream_state_is_in_storage(spark, tmp_path):
+    first = Versions(spark, f"file://{tmp_path}/t")
+    assert first.before(0) is None
+    first.write(0, spark.range(3))
+    first.write(1, spark.range(5))
+    again = Versions(spark, f"file://{tmp_path}/t")
+    assert again.before(2).count() == 5 and again.before(1).count() == 3 and again.last().count() == 5
+    again.write(1, spark.range(6))
+    assert again.last().count() == 6
+
+
 def test_settings(monkeypatch):
+    assert [cli.seconds(t) for t in ("30", "1m30s", "500ms", "2h", "1.5s")] == [30, 90, 0.5, 7200, 1.5]
+    monkeypatch.setenv("QS_T", "1 minute")
+    assert cli.setting("QS_T", 30, cli.seconds) == 30
     monkeypatch.setenv("QS_N", "x")
     assert cli.setting("QS_N", 3, int) == 3 and cli.setting("QS_NONE", "d") == "d"
     assert cli.parser().parse_args(["crawl", "--resume"]).workers == 10

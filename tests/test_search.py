@@ -32,8 +32,8 @@ def rows():
 @pytest.mark.parametrize("query", ["query", "post_type", "the query", "NOT $", "query query", "lib meta-build", "same", "absent query", "$"])
 def test_ranks(spark, rows, query, mode):
     docs = spark.createDataFrame(rows, "row_id long, library_id string, entity_name string, method_name string, content string")
-    post = search.postings(docs, keep=())
-    got = search.bm25(post, search.document_lengths(docs), phrases.phrases(query), mode).orderBy("rank", "row_id").collect()
+    tokens = search.tokenised(docs, keep=())
+    got = search.bm25(search.postings(tokens, ()), search.document_lengths(tokens), phrases.phrases(query), mode).orderBy("rank", "row_id").collect()
     found = sqlite_index(rows).execute("select rowid, bm25(t, 1, 5, 10, 15) from t where t match ? order by 2, 1", (phrases.expression(query, mode),)).fetchall() if phrases.phrases(query) else []
     assert [r.row_id for r in got] == [i for i, _ in found]
     assert all(abs(r.rank - x) < 1e-9 for r, (_, x) in zip(got, found, strict=True))
