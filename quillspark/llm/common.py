@@ -42,7 +42,17 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete persisted() tables that nothing reads any more: all that came from them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,6 +75,7 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], gro
     n = partitions(spark)
     ranged = flat.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
     ranged = persisted(ranged, "ranged")
+    discard(flat)
     by = ["_part", *([group] if group else [])]
     totals = ranged.groupBy(*by).agg(*(F.sum(f"_size_{k}").alias(f"_total_{k}") for k in sums))
     before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,12 +103,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         hook = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(F.col("m"), rank("u"))["id"].alias("to"))
         hook = persisted(hook, "hooks")
         if label is None:
-            label = hook.select(F.col("u").alias("node"), F.col("to").alias("root"))
+            label = persisted(hook.select(F.col("u").alias("node"), F.col("to").alias("root")), "labels")
         else:
-            label = label.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        label = persisted(label, "labels")
+            old, label = label, persisted(label.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            discard(old)
         moved = left.join(hook.toDF("u", "hu"), "u").join(hook.toDF("v", "hv"), "v")
-        left = persisted(moved.where("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct(), "edges")
+        old, left = left, persisted(moved.where("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct(), "edges")
+        discard(old, hook)
+    discard(left)
     if label is None:
         return spark.createDataFrame([], "node long, root long")
     # Written, so that the join exchanges both sides and adaptive execution can split a hot component.

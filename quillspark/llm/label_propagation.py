@@ -65,9 +65,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         rank = (F.lit(GAINS) - F.least(gain, F.lit(GAINS))) * BUCKETS + F.pmod(F.xxhash64("id", F.lit(200 + k)), F.lit(BUCKETS))
         asked = asked.select("id", "label", "anchor", F.when(on & (gain > 0), (-F.col("best.neg")).cast("int")).alias("to"), rank.cast("int").alias("rank"))
         asked = common.persisted(asked, "moves")
+        old = label
         counted = asked.where("to is not null").groupBy("label", "to", "rank").agg(F.count(F.lit(1)).alias("n")).collect()
         quotas = _quotas(counted, load, cap)
         if not quotas:
+            common.discard(asked)
             break
         cuts = {(a, b): cut for a, b, cut in quotas}
         for r in counted:
@@ -78,6 +80,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         allowed = F.broadcast(spark.createDataFrame(quotas, "label int, to int, cut int"))
         label = asked.join(allowed, ["label", "to"], "left").select("id", F.when(F.col("rank") < F.col("cut"), F.col("to")).otherwise(F.col("label")).alias("label"), "anchor")
         label = common.persisted(label, "labels")
+        common.discard(asked, old)
+    common.discard(both)
     return label
 
 

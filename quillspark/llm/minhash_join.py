@@ -320,7 +320,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = common.persisted(pairs.select("a", "b", "set", "other").mapInArrow(checked, "a long, b long"), "confirmed")
     parts = common.components(first, "a", "b")
     placed = clusters.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", "n", F.coalesce("root", "rep").alias("part"))
-    placed = common.persisted(placed, "parts")
+    placed = placed_parts = common.persisted(placed, "parts")
     size = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all"))
     size = size.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("all").alias("all"), F.max(F.struct("c", "part"))["part"].alias("largest")).where("parts > 1")
     block = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.ceil(F.col("c") / BLOCKS)))
@@ -338,6 +338,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = _in_units(placed, "cluster", "blocks", "block", "inside").mapInArrow(linked, "a long, b long")
     roots = common.components(first.unionByName(links), "a", "b")
+    common.discard(signed, least, reps, buckets, candidates, clusters, sets, first, placed_parts, size)
     out = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
