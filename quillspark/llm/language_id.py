@@ -26,7 +26,7 @@ UNIT_CHARS = 32
 #: Words that a process remembers; then it starts anew.
 CACHE = 300_000
 #: Bytes of texts that are looked up together, about.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 UNDETERMINED = "und"
 #: A text has no known language when its evidence is below this: each character is so much likelier (as a log) where all pieces are equally likely.
 LEAST_EVIDENCE = -0.5
