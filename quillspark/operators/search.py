@@ -75,6 +75,7 @@ def bm25(post: DataFrame, lengths: DataFrame, phrases: list[list[str]], mode: st
     """(row_id, rank) of matching rows: ranks are negative, the least is best. Every phrase must match, or with mode 'any' one.
 
     Statistics (one row, of lengths unless given) are of the whole index, whatever is filtered later. No phrases match no rows.
+    A row's scores are added from the least on, as a sum of doubles depends on its order: rows with equal scores have equal ranks, and reruns agree.
     """
     if not phrases:
         return lengths.select("row_id", F.lit(0.0).alias("rank")).limit(0)
@@ -84,8 +85,9 @@ def bm25(post: DataFrame, lengths: DataFrame, phrases: list[list[str]], mode: st
     idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     all_of = f.join(F.broadcast(n), "phrase").join(lengths, "row_id").join(F.broadcast(corpus_stats(lengths) if stats is None else stats), F.lit(True))
-    scored = all_of.groupBy("row_id").agg((-F.sum(score)).alias("rank"), F.count(F.lit(1)).alias("met"))
-    return scored.where(F.col("met") >= (1 if mode == "any" else len(phrases))).select("row_id", "rank")
+    scored = all_of.groupBy("row_id").agg(F.array_sort(F.collect_list(score)).alias("scores"))  # at most one for each phrase
+    rank = -F.aggregate("scores", F.lit(0.0), lambda total, x: total + x)
+    return scored.where(F.size("scores") >= (1 if mode == "any" else len(phrases))).select("row_id", rank.alias("rank"))
 
 
 def top(ranked: DataFrame, k: int = TOP) -> DataFrame:

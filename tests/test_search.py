@@ -1,10 +1,12 @@
 """Matching and ranking against SQLite's full-text index."""
 
+import itertools
 import random
 import sqlite3
 
 import pytest
 
+from quillspark.functions import text
 from quillspark.operators import search, snippets
 from quillspark.plans import phrases
 
@@ -39,6 +41,17 @@ def test_ranks(spark, rows, query, mode):
     assert all(abs(r.rank - x) < 1e-9 for r, (_, x) in zip(got, found, strict=True))
 
 
+def test_equal_scores_have_equal_ranks(spark):
+    """Each group's rows hold three words equally often in all, but each word another time: the scores are the same, and so must be their sums."""
+    rows = [(group, " ".join(["a"] * i + ["b"] * j + ["c"] * k)) for group in range(1, 9) for i, j, k in itertools.permutations((group, 2 * group + 1, 5 * group + 3))]
+    rows += [(0, "none of them")] * 100
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "row_id long, text string")
+    tokens = search.tokenised(docs, ("text",), text.plain_tokens, ())
+    got = search.bm25(search.postings(tokens, ()), search.document_lengths(tokens), phrases.phrases("a b c"), "any", (1.0,)).collect()
+    assert len(got) == 48
+    assert len({(rows[r.row_id][0], r.rank) for r in got}) == 8
+
+
 def test_top_breaks_ties_by_row(spark):
     df = spark.createDataFrame([(3, -1.0), (1, -1.0), (2, -2.0)], "row_id long, rank double")
     assert [r.row_id for r in search.top(df, 2).collect()] == [2, 1]
